@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import new_path, table
 
 
 def word_bpe_path() -> str:
@@ -13,20 +13,56 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wavelet import read_shards, write_shards
+
+    path = new_path(spark, "wavelet")
+    write_shards(table(spark, sf_dir, "documents"), path, word_bpe_path())
+    return read_shards(spark, path)
+
+
 def op6_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import digests
 
     return digests(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op8_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+QUERIES = (
+    op1_pigeonhole_decontamination,
+    op2_tag_path_ratios,
+    op4_wavelet_shards,
+    op6_bpe_rank_array,
+    op8_simhash_tiles,
+    op9_token_counts,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_bpe_rank_array, op9_token_counts)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
