@@ -77,3 +77,29 @@ def arrow_schema(schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(schema)
+
+
+def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list], list]) -> DataFrame:
+    """The rows of df for whose text (bytes, null as empty) ``keep`` says True,
+    with all their columns and without a shuffle."""
+    small_batches(df.sparkSession)
+    src = df.select("*", text_bytes(text_col).alias("_bytes"))
+    src = src.toDF(*[f"c{i}" for i in range(len(src.columns))])  # names may repeat
+    out = src.drop(src.columns[-1]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mask = pa.array(keep(b.column(b.num_columns - 1).to_pylist()), pa.bool_())
+            yield b.select(range(b.num_columns - 1)).filter(mask)
+
+    return src.mapInArrow(run, out).toDF(*df.columns)
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def id_crc(id_col: str) -> Column:
+    """CRC-32 of the id as text; null as 0."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0))

@@ -25,6 +25,17 @@ def op2_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+#: Fixed values of the contract.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op3_url_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge, seeded
+
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, URL_RULES, seeded(pages))
+
+
 def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wavelet import read_shards, write_shards
 
@@ -39,6 +50,12 @@ def op6_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op7_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -51,13 +68,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op10_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = (
     op1_pigeonhole_decontamination,
     op2_tag_path_ratios,
+    op3_url_boosted_trees,
     op4_wavelet_shards,
     op6_bpe_rank_array,
+    op7_adaptive_quality,
     op8_simhash_tiles,
     op9_token_counts,
+    op10_levenshtein_toxicity,
 )
 
 
