@@ -44,6 +44,12 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, path)
 
 
+def op5_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import digests
 
@@ -79,6 +85,7 @@ QUERIES = (
     op2_tag_path_ratios,
     op3_url_boosted_trees,
     op4_wavelet_shards,
+    op5_hashed_maxent,
     op6_bpe_rank_array,
     op7_adaptive_quality,
     op8_simhash_tiles,
