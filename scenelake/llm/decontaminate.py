@@ -27,7 +27,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import filter_rows, map_rows
 
 BUDGET = 0.2
 LEAST_WORDS = 5
@@ -167,3 +167,15 @@ def contaminated(
 
     found = [scan(x) for x in blocks(items, item_col, item_text, block_bytes)]
     return functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, budget: float = BUDGET, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows that hold no item, with all their columns."""
+    for block in blocks(items, item_col, item_text, block_bytes):
+
+        def clean(texts: list, block=block) -> list:
+            match = matcher(block, budget).match
+            return [not match(t.decode()) for t in texts]
+
+        docs = filter_rows(docs, text_col, clean)
+    return docs

@@ -28,36 +28,46 @@ WIDTH = 3.0
 LEAST = 100
 SKETCH_K = 400
 
+#: Groups whose fences (about 100 bytes each) are broadcast; more are joined by shuffle.
+MOST_BROADCAST = 50_000
+
 #: Least quartile distance of each rate, and whether a low value is odd too.
 SPREAD = {"mean_word": (0.6, True), "symbol_rate": (0.05, False), "dup_rate": (0.15, False), "repeat_rate": (0.15, False)}
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once for each row: a generator of one
+    element, through which the optimiser copies no expression."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with a struct ``_counts``; helper columns begin with ``_q``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_qt", text)
+    df = once(docs, "_qt", F.coalesce(F.col(text_col), F.lit("")))
     trimmed = F.trim(F.col("_qt"), F.lit(SPACE))
-    df = df.withColumn("_qw", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t\n\x0B\f\r]+")))
-    df = df.withColumn("_ql", F.filter(F.split("_qt", "\n"), lambda x: F.trim(x, F.lit(SPACE)) != ""))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t\n\x0B\f\r]+"))
+    lines = F.filter(F.split("_qt", "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "")
+    df = once(df, "_qw", words)
     size = F.size("_qw")
     windows = F.when(
         size >= 3, F.transform(F.slice("_qw", 1, size - 2), lambda w, i: F.xxhash64(w, F.get("_qw", i + 1), F.get("_qw", i + 2)))
     ).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_qh", windows)
+    df = once(df, "_qx", F.struct(windows.alias("h"), lines.alias("l")))
+    h, l = F.col("_qx.h"), F.col("_qx.l")  # noqa: E741
     counts = F.struct(
         size.cast("bigint").alias("n_words"),
         F.length(F.translate("_qt", SPACE, "")).cast("bigint").alias("word_chars"),
         (F.length("_qt") - F.length(F.translate("_qt", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
-        F.size("_ql").cast("bigint").alias("n_lines"),
-        (F.size("_ql") - F.size(F.array_distinct("_ql"))).cast("bigint").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("_qh")) < F.size("_qh"), repeated("_qh")).otherwise(0).cast("bigint").alias("n_repeat_words"),
+        F.size(l).cast("bigint").alias("n_lines"),
+        (F.size(l) - F.size(F.array_distinct(l))).cast("bigint").alias("n_dup_lines"),
+        F.when(F.size(F.array_distinct(h)) < F.size(h), repeated(h)).otherwise(0).cast("bigint").alias("n_repeat_words"),
     )
-    return df.withColumn("_counts", counts).drop("_qt", "_qw", "_ql", "_qh")
+    return once(df, "_counts", counts).drop("_qt", "_qw", "_qx")
 
 
-def repeated(hashes: str) -> Column:
+def repeated(hashes: Column) -> Column:
     """Words in three-word windows that occur twice or more: windows sorted
     with their places, those equal to a neighbour kept, their words counted."""
     placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -89,6 +99,7 @@ def fences(measured: DataFrame) -> DataFrame:
     rate = rates(F.col("_counts"))
     groups = measured.groupBy("_lang", "_source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(k) for k, r in rate.items()])
     groups = materialise(groups, "sketches")  # random choices within a sketch are made once
+    few = groups.count() <= MOST_BROADCAST
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in rate]]
     langs, total = groups.groupBy("_lang").agg(*merged), groups.agg(*merged)
 
@@ -104,12 +115,13 @@ def fences(measured: DataFrame) -> DataFrame:
     of = limits(groups, "_own", ["_lang", "_source"])
     of = of.join(limits(langs, "_wide", ["_lang"]).withColumnRenamed("_lang", "_l"), F.col("_lang").eqNullSafe(F.col("_l")), "left")
     of = of.join(F.broadcast(limits(total, "_all", [])))  # one row
-    return of.select("_lang", "_source", F.coalesce("_own", "_wide", "_all").alias("_fences"))
+    of = of.select("_lang", "_source", F.coalesce("_own", "_wide", "_all").alias("_fences"))
+    return F.broadcast(of) if few else of
 
 
 def verdict(df: DataFrame, limits: DataFrame) -> DataFrame:
     """df(_lang, _source, _counts, ...) with _failed and _kept."""
-    of = limits.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), "_fences")
+    of = limits.withColumnsRenamed({"_lang": "_l", "_source": "_s"})
     joined = df.join(of, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
     c = F.col("_counts")
     within = F.lit(True)

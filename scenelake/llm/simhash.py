@@ -25,11 +25,12 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, text_bytes
+from .common import map_rows, materialise, small_batches, text_bytes
 from .components import components
 
 RADIUS = 2
@@ -122,13 +123,47 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return map_rows(pairs, run, ["t", "s", "a", "t2", "s2", "b"], "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """id, fingerprint (16 hex digits), component_id (the least id in reach)."""
-    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+def roots(prints: DataFrame, id_col: str, radius: int) -> DataFrame:
+    """prints(id, fp) to (fp, root, component_id), a row for each fingerprint."""
     first = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
     root = materialise(components(links(first.select("fp"), radius)), "roots")
     of = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     of = materialise(of, "rooted")
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = of.join(least, "root").select("fp", "component_id")
+    return of.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """id, fingerprint (16 hex digits), component_id (the least id in reach)."""
+    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    named = roots(prints, id_col, radius)
     return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each component, with all its columns: that of the least id.
+
+    Rows of one id in one component are repeated rows, of which one stays; of
+    a component without any id, one row stays."""
+    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    named = roots(prints, id_col, radius)
+    judged = materialise(prints.join(named, "fp").select(F.col(id_col).alias("_id"), "fp", "component_id", "root"), "judged")
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    if judged.groupBy("_id").count().filter("count > 1").isEmpty():
+        gone = judged.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id")
+        return docs.join(gone, same, "left_anti")
+    own = judged.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id", "fp", "root").distinct()
+    marked = with_fingerprint(docs, text_col)
+    kept = marked.join(own, same & (F.col("_fp") == F.col("fp")))
+    return kept.dropDuplicates(["_id", "root"]).select(*docs.columns)
+
+
+def with_fingerprint(docs: DataFrame, text_col: str) -> DataFrame:
+    def add(batches):
+        for b in batches:
+            fps = np.array([fingerprint(t) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], schema=pa.schema([*list(b.schema)[:-1], pa.field("_fp", pa.int64())]))
+
+    src = docs.withColumn("_fp", text_bytes(text_col))
+    small_batches(docs.sparkSession)
+    return src.mapInArrow(add, docs.withColumn("_fp", F.lit(0).cast("bigint")).schema)
