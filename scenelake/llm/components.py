@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links(u, v) but the roots themselves;
     the root is the least node that can be reached. Self-links, repeated links
     and links with a null are ignored."""
-    now = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), (F.col("u") + F.col("v")).isNotNull().alias("ok")).filter("ok and u <> v").select("u", "v").distinct()
+    whole = links.filter("u is not null and v is not null and u <> v")
+    now = whole.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialise(now, "links")
     seen = state(now)
     while seen[0]:
