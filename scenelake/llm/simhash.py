@@ -152,10 +152,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if judged.groupBy("_id").count().filter("count > 1").isEmpty():
         gone = judged.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id")
         return docs.join(gone, same, "left_anti")
-    own = judged.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id", "fp", "root").distinct()
+    own = judged.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id", F.col("fp").alias("_own_fp"), F.col("root").alias("_own_root")).distinct()
     marked = with_fingerprint(docs, text_col)
-    kept = marked.join(own, same & (F.col("_fp") == F.col("fp")))
-    return kept.dropDuplicates(["_id", "root"]).select(*docs.columns)
+    kept = marked.join(own, same & (F.col("_fp") == F.col("_own_fp")))
+    return kept.dropDuplicates(["_id", "_own_root"]).select(*docs.columns)
 
 
 def with_fingerprint(docs: DataFrame, text_col: str) -> DataFrame:
