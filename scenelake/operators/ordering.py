@@ -19,3 +19,13 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     starts = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
     inner = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return dealt.withColumn("_k", inner).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_k")).drop("_range", "_k", "_start")
+
+
+def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """df with the sum of all values before a row in the order of columns that
+    are unique together, range by range as in ``global_rank``."""
+    dealt = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_n"))
+    starts = sums.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    inner = F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return dealt.withColumn("_k", inner).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_k")).drop("_range", "_k", "_start")
