@@ -24,6 +24,7 @@ its parent; equal rows each keep a row; further columns are left out.
 
 from __future__ import annotations
 
+import collections
 import html
 import math
 import re
@@ -73,12 +74,19 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。，！？；：¡¿،؟]")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "skip", "depth")
+    """path: the number of its path of structural tags; block: itself or the
+    nearest block above it."""
 
-    def __init__(self, tag: str, parent: "Element | None", skip: bool):
-        self.tag, self.parent = tag, parent
-        self.path = tag if parent is None else f"{parent.path}>{tag}"
-        self.skip, self.depth = skip, 0 if parent is None else parent.depth + 1
+    __slots__ = ("tag", "parent", "path", "skip", "depth", "block")
+
+    def __init__(self, tag: str, parent: "Element | None", skip: bool, paths: dict[tuple[int, str], int]):
+        self.tag, self.parent, self.skip = tag, parent, skip
+        self.depth = 0 if parent is None else parent.depth + 1
+        if parent is None or tag in BLOCK:
+            self.path = paths.setdefault((-1 if parent is None else parent.path, tag), len(paths))
+            self.block = self
+        else:
+            self.path, self.block = parent.path, parent.block
 
 
 def left_out(tag: str, attrs: str, inside: set[str]) -> bool:
@@ -100,8 +108,10 @@ def left_out(tag: str, attrs: str, inside: set[str]) -> bool:
 def blocks_of(page: str) -> list[tuple[Element, str]]:
     """The page's blocks of text with their elements, in page order, without
     those that are never content."""
-    root = Element("html", None, False)
+    paths: dict[tuple[int, str], int] = {}
+    root = Element("html", None, False, paths)
     open_: list[Element] = [root]
+    count: collections.Counter[str] = collections.Counter()  # open elements by tag
     out: list[tuple[Element, str]] = []
     buffer: list[str] = []
     owner = root
@@ -115,15 +125,20 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
     def close(k: int) -> None:
         if any(e.tag in BLOCK for e in open_[k:]):
             flush()
+        count.subtract([e.tag for e in open_[k:]])
         del open_[k:]
 
+    def start(tag: str, parent: Element, skip: bool) -> None:
+        open_.append(Element(tag, parent, skip, paths))
+        count[tag] += 1
+
     at, size = 0, len(page)
     while at < size:
         m = TAG.search(page, at)
         stop = m.start() if m else size
         if stop > at and not open_[-1].skip:
             if not buffer:
-                owner = next(e for e in reversed(open_) if e.tag in BLOCK)
+                owner = open_[-1].block
             buffer.append(html.unescape(page[at:stop]))
         if not m:
             break
@@ -132,13 +147,14 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
             continue
         tag, attrs = m["name"].lower(), m["attrs"] or ""
         if m["end"]:
-            k = next((k for k in range(len(open_) - 1, 0, -1) if open_[k].tag == tag), 0)
+            k = next((k for k in range(len(open_) - 1, 0, -1) if open_[k].tag == tag), 0) if count[tag] > 0 else 0
             if k and (tag in BLOCK or not any(e.tag in BLOCK for e in open_[k:])):
                 close(k)
             elif tag == "p":
                 flush()
             elif k:  # an inline end tag across blocks ends its own element alone
                 del open_[k]
+                count[tag] -= 1
             continue
         if tag in RAW:
             if not attrs.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea", "iframe"):
@@ -153,26 +169,26 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
             continue
         if tag in ("html", "body"):
             flush()
-            if tag == "body" and all(e.tag != "body" for e in open_):
-                del open_[1:]
-                open_.append(Element("body", root, False))
+            if tag == "body" and not count["body"]:
+                close(1)
+                start("body", root, False)
             continue
         if tag in BLOCK:
             flush()
             tags, until = ENDS.get(tag, ([], set()))
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag in until:
-                    break
-                if open_[k].tag in tags:
-                    close(k)
-            parent = open_[-1]
-            skip = parent.skip or left_out(tag, attrs, {e.tag for e in open_})
-            owner_of = next(e for e in reversed(open_) if e.tag in BLOCK)
-            open_.append(Element(tag, owner_of, skip))
+            if any(count[t] > 0 for t in tags):
+                for k in range(len(open_) - 1, 0, -1):
+                    if open_[k].tag in until:
+                        break
+                    if open_[k].tag in tags:
+                        close(k)
+                        if not any(count[t] > 0 for t in tags):
+                            break
+            parent = open_[-1].block
         else:
             parent = open_[-1]
-            e = Element(tag, parent, parent.skip or left_out(tag, attrs, {e.tag for e in open_}))
-            open_.append(e)
+        inside = {t for t in ARTICLE if count[t] > 0}
+        start(tag, parent, open_[-1].skip or left_out(tag, attrs, inside))
     flush()
     return out
 
@@ -188,9 +204,9 @@ def smooth(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(blocks: list[tuple[Element, str]]) -> set[str]:
+def content_paths(blocks: list[tuple[Element, str]]) -> set[int]:
     """Paths whose smoothed and fused ratios reach the page's threshold."""
-    stat: dict[str, list[float]] = {}
+    stat: dict[int, list[float]] = {}
     for e, text in blocks:
         s = stat.setdefault(e.path, [0, 0, 0])
         s[0] += 1
@@ -201,7 +217,7 @@ def content_paths(blocks: list[tuple[Element, str]]) -> set[str]:
     fused = [math.sqrt(a * b) for a, b in zip(length, marks)]
     mean = sum(fused) / len(fused)
     level = min(LEVEL * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused)) if len(fused) > 1 else 0.0, max(fused))
-    score: dict[str, list[float]] = {}
+    score: dict[int, list[float]] = {}
     for (e, _), x in zip(blocks, fused):
         score.setdefault(e.path, []).append(x)
     return {p for p, x in score.items() if sum(x) / len(x) >= level}
@@ -213,9 +229,15 @@ def container(chosen: list[tuple[Element, str]]) -> Element:
     total = sum(len(t) for _, t in chosen)
     held: dict[Element, int] = {}
     for e, text in chosen:
-        while e is not None:
-            held[e] = held.get(e, 0) + len(text)
-            e = e.parent
+        held[e] = held.get(e, 0) + len(text)
+    by_depth: dict[int, list[Element]] = {}
+    for e in held:
+        by_depth.setdefault(e.depth, []).append(e)
+    for depth in range(max(by_depth, default=0), 0, -1):  # each passes its sum on once, the deepest first
+        for e in by_depth.get(depth, ()):
+            if e.parent not in held:
+                by_depth.setdefault(e.parent.depth, []).append(e.parent)
+            held[e.parent] = held.get(e.parent, 0) + held[e]
     marked = [e for e, n in held.items() if e.tag in ARTICLE and n >= SHARE * total]
     if marked:
         return max(marked, key=lambda e: (e.depth, held[e]))
@@ -230,10 +252,16 @@ def extract(page: str | None) -> str:
     paths = content_paths(blocks)
     top = container([x for x in blocks if x[0].path in paths])
 
+    known = {top: True}
+
     def inside(e: Element | None) -> bool:
-        while e is not None and e is not top:
+        path = []
+        while e is not None and e not in known:
+            path.append(e)
             e = e.parent
-        return e is top
+        found = e is not None and known[e]
+        known.update(dict.fromkeys(path, found))
+        return found
 
     return "\n\n".join([text for e, text in blocks if inside(e)])
 
