@@ -188,7 +188,11 @@ class Scorer:
                 plain += 1
             else:
                 wrong += 1
-        most = max((np.searchsorted(hits, i + DENSE) - k for k, i in enumerate(hits)), default=0)
+        most = first = 0
+        for k, i in enumerate(hits):
+            while hits[first] <= i - DENSE:
+                first += 1
+            most = max(most, k - first + 1)
         evidence = plain + 0.7 * wrong + QUOTED * quoted
         return [math.log1p(plain), math.log1p(wrong), math.log1p(QUOTED * quoted), math.log1p(float(most) * evidence / max(len(hits), 1)), math.log1p(100 * evidence / (len(words) + 50))]
 
