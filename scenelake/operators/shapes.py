@@ -19,8 +19,7 @@ def moments(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return points.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(a).alias(f"c{a}") for a in "xyz"], *[F.covar_pop(p[0], p[1]).alias(p) for p in pairs])
 
 
-@F.pandas_udf("struct<nx: double, ny: double, nz: double, l0: double, l1: double, l2: double>")
-def eigen(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
+def eigen_frame(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
     """Normal and ascending eigenvalues of 3x3 covariances, a batch at a time;
     the normal's largest part is positive."""
     m = np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2).astype(float)
@@ -31,6 +30,11 @@ def eigen(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Ser
     return pd.DataFrame({"nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2], "l0": value[:, 0].clip(0), "l1": value[:, 1].clip(0), "l2": value[:, 2].clip(0)})
 
 
+def eigen(*covariance: str) -> Column:
+    kind = "nx double, ny double, nz double, l0 double, l1 double, l2 double"
+    return F.pandas_udf(eigen_frame, kind)(*covariance)
+
+
 def plane_fit(points: DataFrame, keys: Sequence[str], least: int = 5, flat: float = 0.01) -> DataFrame:
     """Plane of each key: normal, offset, radius and whether it is flat."""
     m = moments(points, keys).filter(F.col("n") >= least).withColumn("e", eigen("xx", "xy", "xz", "yy", "yz", "zz"))
