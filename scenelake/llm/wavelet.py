@@ -16,7 +16,9 @@ keeps its place; further columns are left out; an empty table writes no shard.
 
 The library is asked for each chunk between ASCII white space, once for as
 long as the chunk is remembered: its pattern drops white space and its
-normaliser joins nothing across it, so a text's ids are its chunks' ids.
+normaliser joins nothing across it, so a text's ids are its chunks' ids. A
+chunk of lower-case Latin letters goes straight to the library's model. The
+file must be of the kind that ``bpe.WordBpe`` reads.
 """
 
 from __future__ import annotations
@@ -24,25 +26,27 @@ from __future__ import annotations
 import functools
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import arrow_schema, small_batches, text_bytes
+from .common import arrow_schema, small_batches
 
 BLOCK = 512
 
 #: A shard is closed at the document that brings it to this many ids.
 SHARD_TOKENS = 1 << 20
 
-#: Remembered chunks of each worker: about 40 MB each generation.
-CHUNKS = 250_000
+#: Remembered chunks of each worker: about 70 MB each generation.
+CHUNKS = 400_000
 
 #: Shards whose starts are broadcast (24 bytes each); more are joined.
 MOST_BROADCAST = 200_000
@@ -156,38 +160,114 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        bpe.word_bpe(path)  # refuses a file of another kind
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
         top = max(self.lib.get_vocab_size(with_added_tokens=True) - 1, end_id)
         self.width = top.bit_length()
         self.dtype = np.dtype("<u2" if self.width <= 16 else "<u4")
+        self.code = "H" if self.width <= 16 else "I"
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.known = bpe.Memory(None, CHUNKS)
-
-    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """Ids of every chunk that isn't remembered."""
-        known = self.known
-        new = {c for t in texts for c in t} - known.young.keys()
-        got = {c: v for c in new if (v := known.old.get(c)) is not None}
-        rest = [c for c in new if c not in got]
+        self.model = self.lib.model
+        self.symbols = dict(enumerate(bpe.byte_symbols()))
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def ask(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids from the library: a plain word from its model, any other chunk
+        through its normaliser and word pattern too."""
+        out, rest = {}, []
+        for c in chunks:
+            if (word := plain_word(c)) is None:
+                rest.append(c)
+            else:
+                ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]
+                out[c] = struct.pack(f"<{len(ids)}{self.code}", *ids)
         for k in range(0, len(rest), 10_000):
             part = rest[k : k + 10_000]
             for c, e in zip(part, self.lib.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                got[c] = np.array(e.ids, self.dtype).tobytes()
-        if len(known.young) + len(got) > known.size:
-            known.old, known.young = known.young, {}
-        known.young |= {c: v for c, v in got.items() if len(c) <= bpe.LONGEST_KEY}
+                out[c] = struct.pack(f"<{len(e.ids)}{self.code}", *e.ids)
+        return out
+
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that the young generation lacks. A plain word and the
+        marks after it are two words to the tokenizer, and are asked for apart."""
+        got, both, need = {}, {}, set()
+        for c in chunks:
+            if (v := self.old.get(c)) is not None:
+                got[c] = v
+            elif c and c[-1] in MARKS and plain_word(word := c.rstrip(MARKS)) is not None:
+                both[c] = word, c[len(word) :]
+            else:
+                need.add(c)
+        have = {}
+        for pair in both.values():
+            for w in pair:
+                if w not in need and w not in have:
+                    if (v := self.young.get(w) or self.old.get(w)) is None:
+                        need.add(w)
+                    else:
+                        have[w] = v
+        got |= self.ask(list(need))
+        for c, (a, b) in both.items():
+            got[c] = (got.get(a) or have[a]) + (got.get(b) or have[b])
+        if len(self.young) + len(got) > CHUNKS:
+            self.old, self.young = self.young, {}
+        self.young |= {c: v for c, v in got.items() if len(c) <= bpe.LONGEST_KEY}
         return got
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]
-        before = self.known.young
-        got = self.learn(cut)
-        young = before | got if before is not self.known.young else self.known.young
-        if any(len(c) > bpe.LONGEST_KEY for c in got):
-            young = young | got
-        return [b"".join([*map(young.__getitem__, t), self.end]) for t in cut]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch of texts, each closed by the end id, and the
+        texts' ends among them. Chunks are told apart in Arrow, so that only
+        the batch's different ones are looked up."""
+        # the normaliser lowers letters anyway; only special tokens' strings come before it
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        coded = lists.flatten().dictionary_encode()
+        chunks = byte_strings(coded.dictionary)
+        ids = list(map(self.young.get, chunks))
+        if missing := {c for c, v in zip(chunks, ids) if v is None}:
+            got = self.learn(missing)
+            ids = [got[c] if v is None else v for c, v in zip(chunks, ids)]
+        ids.append(self.end)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        first = np.cumsum(size) - size
+        last = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        which = np.insert(coded.indices.to_numpy(), last, len(ids) - 1)
+        n = size[which]
+        up = np.cumsum(n)
+        at = np.repeat(first[which] - (up - n), n)
+        at += np.arange(len(at))
+        return np.frombuffer(b"".join(ids), self.dtype)[at], up[last + np.arange(len(last))]
+
+
+def byte_strings(values: pa.Array) -> list[bytes]:
+    """A string array's values as bytes; slices of its buffer are far cheaper
+    than a scalar object each."""
+    if not len(values):
+        return []
+    cuts = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset).tolist()
+    data = values.buffers()[2].to_pybytes() if values.buffers()[2] is not None else b""
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+#: Marks that are a word of their own to the tokenizer after a letter.
+MARKS = b".,;:!?|#$%&*"
+
+
+def plain_word(chunk: bytes) -> str | None:
+    """The chunk if it is one word to the tokenizer and no normaliser changes
+    it: lower-case Latin letters in composed form."""
+    word = chunk.decode()
+    if not word.isalpha():
+        return None
+    if word.isascii():
+        return word if word.islower() else None
+    return word if max(word) < LATIN_END and word == word.lower() and unicodedata.is_normalized("NFC", word) else None
+
+
+#: The first character after the Latin blocks.
+LATIN_END = "\u0250"
 
 
 @functools.cache
@@ -205,26 +285,31 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        ids, ends, data, n = [], [], [], 0
+        keys, ends, data, n = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(data), enc.dtype)
-            row = [part], [seq], [n], [ids], [ends], [WaveletMatrix.build(tokens, enc.width).to_bytes()]
+            row = [part], [seq], [n], [keys], [ends], [WaveletMatrix.build(np.concatenate(data), enc.width).to_bytes()]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, arrow)], schema=arrow)
 
         for b in batches:
-            for key, tokens in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                n += len(tokens) // enc.dtype.itemsize
-                ids.append(key)
+            if not b.num_rows:
+                continue
+            ids, stops = enc.encode(b.column(1))
+            stops, done = stops.tolist(), 0
+            for key, begin, stop in zip(b.column(0).to_pylist(), [0, *stops], stops):
+                n += stop - begin
+                keys.append(key)
                 ends.append(n)
-                data.append(tokens)
                 if n >= shard_tokens:
+                    data.append(ids[done:stop])
                     yield shard()
-                    seq, ids, ends, data, n = seq + 1, [], [], [], 0
-        if ids:
+                    seq, keys, ends, data, n, done = seq + 1, [], [], [], 0, stop
+            data.append(ids[done:])
+        if keys:
             yield shard()
 
-    ordered = docs.select(F.col(id_col).alias("key"), text_bytes(text_col).alias("bytes")).repartitionByRange("key").sortWithinPartitions("key", "bytes")
+    src = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
+    ordered = src.repartitionByRange("key").sortWithinPartitions("key", "content")
     ordered.mapInArrow(run, out).write.option("compression", "zstd").parquet(path)
 
 
