@@ -7,8 +7,9 @@ each different pair of neighbours, so copies of one text don't make a term.
 
 All terms go into one trie. Words are run through the intersection of the trie
 with Levenshtein automata (``Automaton``): one edit, or one exchange of
-neighbours, for terms of five letters or more, two for nine or more; its
-states are made as they are met. Misspelled forms that clean labelled texts
+neighbours, for terms of five letters or more, two for nine or more, the first
+letter included; its states are made as they are met. Signs and digits that
+stand for letters are folded, those at a word's ends too. Misspelled forms that clean labelled texts
 hold are no hits.
 
 Each hit is weighed by its window: inside quotation marks or beside a word of
@@ -51,6 +52,9 @@ QUOTED = 0.3
 #: Remembered chunks of each worker: about 40 MB each generation.
 CHUNKS = 200_000
 
+#: Entries of the automaton's remembered states: about 100 MB.
+ENTRIES = 1_000_000
+
 #: Words that report others' words, quotation marks, and signs that stand for letters.
 REPORTS = frozenset("said says say saying called calling wrote writes quote quoted quotes quoting word words term terms insult insults slur slurs dit disait appelle mot mots sagte sagt nannte wort dijo dice palabra".split())
 OPENING, CLOSING = "\"'“‘«„‹", "\"'”’»“›"
@@ -72,13 +76,29 @@ def clean(chunk: str) -> str:
     return w[a:b]
 
 
+def spellings(chunk: str) -> list[str]:
+    """The word with the folded signs at its start, at its end, both or
+    neither, where it holds any."""
+    word = clean(chunk)
+    at = chunk.find(word) if word else 0
+    a, b = at, at + len(word)
+    while a and ord(chunk[a - 1]) in SIGNS:
+        a -= 1
+    while b < len(chunk) and ord(chunk[b]) in SIGNS:
+        b += 1
+    found = dict.fromkeys(chunk[i:j] for i in (at, a) for j in (at + len(word), b))
+    return [x for x in found if any(ord(c) in SIGNS for c in x)]
+
+
 class Automaton:
     """Words within their edits of a term, and words that begin with a stem.
 
     A state is a set of (trie node, edits, awaited letter); the awaited letter
-    is the second of an exchanged pair. The first letter must be right."""
+    is the second of an exchanged pair. With ``first`` edits may be anywhere,
+    without it the first letter must be right. States beyond ``ENTRIES``
+    entries are forgotten and made again when they are met."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], first: bool = False):
         self.children: list[dict[str, int]] = [{}]
         self.ends: dict[int, str] = {}
         self.stem: dict[int, str] = {}
@@ -95,9 +115,29 @@ class Automaton:
                     self.room[node] = max(self.room[node], room)
                 of[node] = word
         self.weights = terms | stems
-        self.states: list[frozenset] = [frozenset([(0, 0, "")])]
+        self.room[0] = max(map(limit, terms), default=0) if first else 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.states: list[frozenset] = [self._state({(0, 0, "")})]
         self.number = {self.states[0]: 0}
         self.steps: list[dict[str, int]] = [{}]
+        self.entries = 0
+
+    def _state(self, new: set) -> frozenset:
+        todo = list(new)
+        while todo:  # a letter too few
+            node, e, awaited = todo.pop()
+            if not awaited and e < self.room[node]:
+                for child in self.children[node].values():
+                    if (child, e + 1, "") not in new:
+                        new.add((child, e + 1, ""))
+                        todo.append((child, e + 1, ""))
+        least: dict[tuple[int, str], int] = {}  # the same place with more edits finds nothing else
+        for node, e, awaited in new:
+            if e <= self.room[node] or e == 0:
+                least[node, awaited] = min(e, least.get((node, awaited), e))
+        return frozenset((node, e, awaited) for (node, awaited), e in least.items())
 
     def _step(self, state: int, c: str) -> int:
         new = set()
@@ -109,31 +149,26 @@ class Automaton:
             children = self.children[node]
             if c in children:
                 new.add((children[c], e, ""))
-            if node == 0 or e >= self.room[node]:
+            if e >= self.room[node]:
                 continue
             new.add((node, e + 1, ""))  # one letter too many
             for d, child in children.items():
                 new.add((child, e + 1, ""))  # another letter
                 if d != c and c in self.children[child]:
                     new.add((self.children[child][c], e + 1, d))  # two exchanged
-        todo = list(new)
-        while todo:  # a letter too few
-            node, e, awaited = todo.pop()
-            if node and not awaited and e < self.room[node]:
-                for child in self.children[node].values():
-                    if (child, e + 1, "") not in new:
-                        new.add((child, e + 1, ""))
-                        todo.append((child, e + 1, ""))
-        key = frozenset(x for x in new if x[1] <= self.room[x[0]] or x[1] == 0)
+        key = self._state(new)
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
             self.steps.append({})
+            self.entries += len(key) + 1
         self.steps[state][c] = self.number[key]
         return self.number[key]
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The term and its edits, the fewest first; a stem has 0."""
+        if self.entries > ENTRIES:
+            self.forget()
         at, steps, stem = 0, self.steps, None
         for c in word:
             nxt = steps[at].get(c)
@@ -156,25 +191,31 @@ class Scorer:
     N = 5
 
     def __init__(self, terms: tuple, stems: tuple, harmless: frozenset):
-        self.find = Automaton(dict(terms), dict(stems))
+        self.find = Automaton(dict(terms), dict(stems), first=True)
         self.harmless = harmless
         self.chunk = bpe.Memory(self._chunk, CHUNKS)
 
-    def form(self, word: str) -> tuple[str, int] | None:
-        got = self.find.match(word)
-        if got is None and word.isalnum() is False or got is None and any(c.isdigit() for c in word):
-            folded = clean(word.translate(SIGNS))
-            got = self.find.match(folded) if folded != word else None
-            got = got and (got[0], max(got[1], 1))
-        return got
+    def form(self, chunk: str) -> tuple[str, tuple[str, int]] | None:
+        """What was matched of the chunk, its term and edits. Signs are folded
+        with those at either end and without them; the fewest edits count."""
+        word = clean(chunk)
+        got = self.find.match(word) if len(word) > 2 else None
+        if got and not got[1]:
+            return word, got
+        best = got and (got[1], 0, word, got[0])
+        for spelled in spellings(chunk.lower()):
+            folded = clean(spelled.translate(SIGNS))
+            got = self.find.match(folded) if folded != word and len(folded) > 2 else None
+            if got and (best is None or (max(got[1], 1), 1) < best[:2]):
+                best = max(got[1], 1), 1, spelled, got[0]
+        return best and (best[2], (best[3], best[0]))
 
     def _chunk(self, chunk: bytes) -> int:
         """0 without a hit, 1 for a term or stem, 2 for a misspelled one."""
         if len(chunk) > bpe.LONGEST_KEY:
             return 0
-        word = clean(chunk.decode())
-        got = self.form(word) if len(word) > 2 else None
-        return 0 if got is None or got[1] and word in self.harmless else 2 if got[1] else 1
+        got = self.form(chunk.decode())
+        return 0 if got is None or got[1][1] and got[0] in self.harmless else 2 if got[1][1] else 1
 
     def features(self, text: bytes) -> list[float]:
         words = text.split()
@@ -278,8 +319,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
 
     def near(texts: list) -> list:
         form = scorer(terms, stems, frozenset()).form
-        words = {clean(c.decode()) for t in texts for c in t.split() if len(c) <= bpe.LONGEST_KEY}
-        return [[w for w in words if len(w) > 2 and (got := form(w)) and got[1]]]
+        chunks = {c for t in texts for c in t.split() if len(c) <= bpe.LONGEST_KEY}
+        return [list({got[0] for c in chunks if (got := form(c.decode())) and got[1][1]})]
 
     harmless = frozenset(r.word for r in map_rows(sample.filter("toxic <> 1"), near, ["bytes"], "word string").distinct().orderBy("word").limit(MOST_CANDIDATES).collect())
 

@@ -127,6 +127,35 @@ def test_automaton():
             assert osa(got[0], w) <= 2 and len(got[0]) >= 9
 
 
+def test_edits_of_the_first_letter():
+    terms = {"idiot": 1.0, "stupid": 1.0, "pathetic": 1.0, "worthless": 1.0, "scum": 1.0}
+    a = toxicity.Automaton(terms, {}, first=True)
+    wrong = {"diiot": "idiot", "ztupid": "stupid", "athetic": "pathetic", "xidiot": "idiot", "owrthlses": "worthless", "rthless": "worthless"}
+    assert {w: a.match(w)[0] for w in wrong if a.match(w)} == wrong and a.match("zcum") is None and a.match("wxyz") is None
+    rng = random.Random(5)
+    words = []
+    for _ in range(3000):
+        w = list(rng.choice([*terms]))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.choice([0, rng.randrange(len(w) + 1)])
+            what = rng.randrange(3)
+            w[at : at + (what != 0)] = [] if what == 1 else [rng.choice("acdehiopstuw")]
+        words.append("".join(w))
+    got = [a.match(w) for w in words]
+    for w, g in zip(words, got):
+        near = [(osa(t, w), t) for t in terms if osa(t, w) <= toxicity.limit(t)]
+        if near:
+            assert g is not None and g[1] <= min(near)[0], w
+        elif g:  # an exchange between two other edits may count as fewer
+            assert osa(g[0], w) == 3 and len(g[0]) >= 9, w
+    small = toxicity.Automaton(terms, {}, first=True)
+    for w, g in zip(words, got):
+        small.forget()
+        assert small.match(w) == g
+    s = toxicity.Scorer((("stupid", 1.0), ("asshat", 1.0), ("idiot", 1.0), ("scum", 1.0)), (), frozenset(["istupib"]))
+    assert [s.chunk(x) for x in (b"$tupid", b'"$tupid!"', b"@sshat", b"idiot!", b"!diot!", b"$cum", b"zcum", b"istupib", b"fine!")] == [2, 2, 2, 1, 2, 2, 0, 0, 0]
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("bdfgklmnprtvz") + rng.choice("aeou") for _ in range(rng.randint(1, 3)))
