@@ -9,7 +9,11 @@ All terms go into one trie. Words are run through the intersection of the trie
 with Levenshtein automata (``Automaton``): one edit, or one exchange of
 neighbours, for terms of five letters or more, two for nine or more, the first
 letter included; its states are made as they are met. Signs and digits that
-stand for letters are folded, those at a word's ends too. Misspelled forms that clean labelled texts
+stand for letters are folded, those at a word's ends too. A word is a run of
+letters, digits and their marks, however it is joined to the next; what holds
+no hit is also tried together with its neighbours in the same run without
+spaces ('stu.pid', 'a$$hat'). Text that isn't cut into words by any sign
+(Chinese, Thai) has its runs as words. Misspelled forms that clean labelled texts
 hold are no hits.
 
 Each hit is weighed by its window: inside quotation marks or beside a word of
@@ -29,6 +33,8 @@ from __future__ import annotations
 
 import functools
 import math
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -59,6 +65,10 @@ ENTRIES = 1_000_000
 REPORTS = frozenset("said says say saying called calling wrote writes quote quoted quotes quoting word words term terms insult insults slur slurs dit disait appelle mot mots sagte sagt nannte wort dijo dice palabra".split())
 OPENING, CLOSING = "\"'“‘«„‹", "\"'”’»“›"
 SIGNS = str.maketrans("013457@$!", "oieastasi")
+MARKS = "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c)) in ("Mn", "Mc")) + "\u200c\u200d"
+WORD = re.compile(f"[^\\W_](?:[^\\W_]|[{MARKS}])*")
+SIGN = re.compile("[013457@$!]")
+JOINED = re.compile(rb"[^A-Za-z0-9][A-Za-z0-9]|[\x80-\xff]")
 
 
 def limit(term: str) -> int:
@@ -68,6 +78,8 @@ def limit(term: str) -> int:
 def clean(chunk: str) -> str:
     """Lower case, without what isn't a letter or digit at either end."""
     w = chunk.lower()
+    if w.isalnum():
+        return w
     a, b = 0, len(w)
     while a < b and not w[a].isalnum():
         a += 1
@@ -76,6 +88,36 @@ def clean(chunk: str) -> str:
     return w[a:b]
 
 
+def places(chunk: str) -> list[tuple[int, int, int, int]]:
+    """The begin and end of each word with the signs around it, and of the word
+    itself. A quotation mark or folded sign right before a word goes with it if
+    other signs stand before; an apostrophe between letters goes with neither."""
+    words = [m.span() for m in WORD.finditer(chunk)]
+    if len(words) < 2:
+        return [(0, len(chunk), *(words[0] if words else (0, 0)))]
+    out, begin = [], 0
+    for (x, end), (after, _) in zip(words, words[1:]):
+        gap = chunk[end:after]
+        k = len(gap)
+        while k and (gap[k - 1] in OPENING or ord(gap[k - 1]) in SIGNS):
+            k -= 1
+        if k == 0 and (gap[0] in CLOSING or gap[0] not in OPENING):
+            k = len(gap)
+        bare = gap in ("'", "’")
+        out.append((begin, end if bare else end + k, x, end))
+        begin = after if bare else end + k
+    return [*out, (begin, len(chunk), *words[-1])]
+
+
+def pieces(text: bytes) -> list[str]:
+    """The text's words with the signs around them."""
+    out: list[str] = []
+    for c in text.split():
+        x = c.decode(errors="replace")
+        out += [x[a:b] for a, b, _, _ in places(x)] if JOINED.search(c, 1) else [x]
+    return out
+
+
 def spellings(chunk: str) -> list[str]:
     """The word with the folded signs at its start, at its end, both or
     neither, where it holds any."""
@@ -194,6 +236,8 @@ class Scorer:
         self.find = Automaton(dict(terms), dict(stems), first=True)
         self.harmless = harmless
         self.chunk = bpe.Memory(self._chunk, CHUNKS)
+        self.piece = bpe.Memory(lambda x: self.form(x) or (), CHUNKS // 4)
+        self.longest = max((len(w) for w, _ in (*terms, *stems)), default=0) + 2
 
     def form(self, chunk: str) -> tuple[str, tuple[str, int]] | None:
         """What was matched of the chunk, its term and edits. Signs are folded
@@ -203,6 +247,8 @@ class Scorer:
         if got and not got[1]:
             return word, got
         best = got and (got[1], 0, word, got[0])
+        if not SIGN.search(chunk):
+            return best and (word, got)
         for spelled in spellings(chunk.lower()):
             folded = clean(spelled.translate(SIGNS))
             got = self.find.match(folded) if folded != word and len(folded) > 2 else None
@@ -210,16 +256,50 @@ class Scorer:
                 best = max(got[1], 1), 1, spelled, got[0]
         return best and (best[2], (best[3], best[0]))
 
-    def _chunk(self, chunk: bytes) -> int:
+    def read(self, chunk: str) -> tuple[list[str], list]:
+        """The chunk's words and what ``form`` finds in each; words without a
+        find are tried together with those after them, up to two signs between
+        them that aren't folded; the first of them has the find."""
+        at = places(chunk)
+        words = [chunk[a:b] for a, b, _, _ in at]
+        if len(at) == 1:
+            return words, [self.form(chunk) or ()]
+        found = list(map(self.piece, words))
+        i = 0
+        while i < len(at):
+            j, signs = i + 1, 0
+            while j < len(at) and not found[i] and not found[j] and at[j][3] - at[i][2] <= self.longest:
+                gap = chunk[at[j - 1][3] : at[j][2]]
+                signs += sum(ord(c) not in SIGNS for c in gap)
+                if signs > 2 or any(map(str.isspace, gap)):
+                    break
+                found[i] = self.form(chunk[at[i][0] : at[j][1]]) or ()
+                j += 1
+            i = j if found[i] else i + 1
+        return words, found
+
+    def mark(self, got: tuple | None) -> int:
         """0 without a hit, 1 for a term or stem, 2 for a misspelled one."""
-        if len(chunk) > bpe.LONGEST_KEY:
-            return 0
-        got = self.form(chunk.decode())
-        return 0 if got is None or got[1][1] and got[0] in self.harmless else 2 if got[1][1] else 1
+        return 0 if not got or got[1][1] and got[0] in self.harmless else 2 if got[1][1] else 1
+
+    def _chunk(self, chunk: bytes) -> int | tuple[list[bytes], list[int]]:
+        """The mark of its one word, or its words with a mark for each."""
+        if not JOINED.search(chunk, 1):
+            return self.mark(self.form(chunk.decode()))
+        words, found = self.read(chunk.decode(errors="replace"))
+        marks = list(map(self.mark, found))
+        return marks[0] if len(marks) == 1 else ([w.encode() for w in words], marks)
 
     def features(self, text: bytes) -> list[float]:
-        words = text.split()
-        marks = self.chunk.all(words)
+        words, marks = [], []
+        chunks = text.split()
+        for c, m in zip(chunks, self.chunk.all(chunks)):
+            if type(m) is int:
+                words.append(c)
+                marks.append(m)
+            else:
+                words += m[0]
+                marks += m[1]
         hits = [i for i, m in enumerate(marks) if m]
         plain = wrong = quoted = 0.0
         for i in hits:
@@ -289,7 +369,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     def seen(texts: list) -> list:
         words, around = [], []
         for t in texts:
-            w = [clean(c.decode()) for c in t.split() if len(c) <= bpe.LONGEST_KEY]
+            w = list(map(clean, pieces(t)))
             got = {(x, zlib.crc32(f"{a} {b}".encode())) for a, x, b in zip(["", *w], w, [*w[1:], ""]) if len(x) > 2}
             got |= {(f"{x[:k]}*", h) for x, h in got for k in STEMS if len(x) > k}
             words += [x for x, _ in got]
@@ -306,7 +386,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     def held(texts: list) -> list:
         out: list[str] = []
         for t in texts:
-            w = {clean(c.decode()) for c in t.split() if len(c) <= bpe.LONGEST_KEY}
+            w = set(map(clean, pieces(t)))
             out += [x for x in w | {f"{x[:k]}*" for x in w for k in STEMS if len(x) > k} if x in found]
         return [out]
 
@@ -318,9 +398,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     stems = tuple((w[:-1], test[w]) for w in sorted(kept) if w.endswith("*") and not any(t.startswith(w[:-1]) and found[t] >= 0.9 * found[w] for t, _ in terms))
 
     def near(texts: list) -> list:
-        form = scorer(terms, stems, frozenset()).form
-        chunks = {c for t in texts for c in t.split() if len(c) <= bpe.LONGEST_KEY}
-        return [list({got[0] for c in chunks if (got := form(c.decode())) and got[1][1]})]
+        read = scorer(terms, stems, frozenset()).read
+        chunks = {c for t in texts for c in t.split()}
+        return [list({got[0] for c in chunks for got in read(c.decode(errors="replace"))[1] if got and got[1][1]})]
 
     harmless = frozenset(r.word for r in map_rows(sample.filter("toxic <> 1"), near, ["bytes"], "word string").distinct().orderBy("word").limit(MOST_CANDIDATES).collect())
 

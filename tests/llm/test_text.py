@@ -156,6 +156,18 @@ def test_edits_of_the_first_letter():
     assert [s.chunk(x) for x in (b"$tupid", b'"$tupid!"', b"@sshat", b"idiot!", b"!diot!", b"$cum", b"zcum", b"istupib", b"fine!")] == [2, 2, 2, 1, 2, 2, 0, 0, 0]
 
 
+def test_joined_words_are_read():
+    cut = lambda x: toxicity.pieces(x.encode())
+    assert cut("idiot/moron you,$cum don't “no”—yes हिन्दी -- ") == ["idiot/", "moron", "you,", "$cum", "don", "t", "“no”—", "yes", "हिन्दी", "--"]
+    assert cut('said:"idiot"/"moron"') == ["said:", '"idiot"/', '"moron"']
+    s = toxicity.Scorer((("idiot", 1.0), ("moron", 1.0), ("stupid", 1.0), ("asshat", 1.0), ("scum", 1.0)), (("bast", 1.0),), frozenset(["oron"]))
+    hits = lambda x: [round(math.exp(v) - 1, 3) for v in s.features(x.encode())[:3]]
+    assert hits("idiot/moron") == hits("idiot\u00a0moron") == hits("stupid...idiot") == hits("l'idiot–moron,") == hits("idiot, moron") == [2, 0, 0]
+    assert hits("you,stu.pid") == hits("a$$hat") == hits("an/a$$hat") == hits("you/$cum") == [0, 1, 0] and hits("oron/other") == hits("id\u00a0iot") == [0, 0, 0]
+    assert hits("bastion/idiot") == [2, 0, 0] and hits('he,said:"idiot"') == [0, 0, 0.3]
+    assert hits("\u3000".join(["some", "idiot"] * 300)) == [300, 0, 0] and hits("x" * 70 + "/idiot") == [1, 0, 0] and hits("y" * 100_000) == [0, 0, 0]
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("bdfgklmnprtvz") + rng.choice("aeou") for _ in range(rng.randint(1, 3)))
