@@ -5,8 +5,9 @@ tags. For each path, two ratios are aggregated: text length for each node and
 punctuation for each node. Along the page each node takes its path's ratios;
 both are smoothed with a Gaussian window, fused by their geometric mean, and
 paths whose mean fused score reaches ``LEVEL`` of the page's deviation are
-content. The content nodes' common container is the article; what else stands
-in that container belongs to it (short paragraphs, headings, lists), so no
+content. The content nodes' common container is the article (the deepest
+article or main element that holds all of them, else the lowest element that
+does); what else stands in that container belongs to it (short paragraphs, headings, lists), so no
 part is lost for being short.
 
 Never content, whatever its ratios: scripts, styles, forms, navigation,
@@ -37,9 +38,6 @@ from .common import map_rows
 LEVEL = 0.5
 SIGMA = 1.0
 
-#: A container must hold this share of the content nodes' text to be the article.
-SHARE = 0.5
-
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noembed noframes xmp iframe textarea title noscript template svg math object audio video canvas".split())
@@ -224,7 +222,7 @@ def content_paths(blocks: list[tuple[Element, str]]) -> set[int]:
 
 
 def container(chosen: list[tuple[Element, str]]) -> Element:
-    """The deepest article or main element with enough of the chosen text, else
+    """The deepest article or main element with all of the chosen text, else
     the deepest element that holds all of it."""
     total = sum(len(t) for _, t in chosen)
     held: dict[Element, int] = {}
@@ -238,7 +236,7 @@ def container(chosen: list[tuple[Element, str]]) -> Element:
             if e.parent not in held:
                 by_depth.setdefault(e.parent.depth, []).append(e.parent)
             held[e.parent] = held.get(e.parent, 0) + held[e]
-    marked = [e for e, n in held.items() if e.tag in ARTICLE and n >= SHARE * total]
+    marked = [e for e, n in held.items() if e.tag in ARTICLE and n == total]
     if marked:
         return max(marked, key=lambda e: (e.depth, held[e]))
     all_ = [e for e, n in held.items() if n == total]

@@ -32,6 +32,16 @@ def test_html(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_html_split_article():
+    text = lambda k, n: "".join(f"<p>Part {k}, sentence {i}, and more of it.</p>" for i in range(n))
+    for a, b in ((6, 4), (5, 5), (9, 1)):
+        page = f"<body><nav>Menu.</nav><main><article>{text(1, a)}</article><article>{text(2, b)}</article></main></body>"
+        got = html_extract.extract(page).split("\n\n")
+        assert len(got) == a + b and got[-1] == f"Part 2, sentence {b - 1}, and more of it."
+    got = html_extract.extract(f"<main><article>{text(1, 11)}</article>{text(2, 9)}<p>Short</p></main>").split("\n\n")
+    assert len(got) == 21 and got[-1] == "Short"
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.NET/x?y=/z", "http://b.org/fr/1", "http://www.example.net/en/1#t", "http://example.net/de/", "http://net", "http://x.example.com/de/a?b", "http://cheap-pills.example.com/en/1", "http://calm.example.com/en/2", "http://Ünet.ÅB.com/"]
     df = spark.createDataFrame([(i, u, "v") for i, u in enumerate(urls)] + [(3, urls[3], "v")], "page_id bigint, url string, verdict string")
