@@ -11,8 +11,12 @@ does); what else stands in that container belongs to it (short paragraphs, headi
 part is lost for being short.
 
 Never content, whatever its ratios: scripts, styles, forms, navigation,
-footers, asides, a page's header, hidden parts, and parts whose role, class or
-id names a menu, sidebar, notice, advert or reader comments.
+footers, asides, a page's header, hidden parts (also what browsers show only
+without scripts, frames or plug-ins), and parts whose role, class or id names a
+menu, sidebar, notice, advert or reader comments. A class or id is no such name
+where the part holds the page's article: its main element, all its first-rank
+headings, or, if the class or id says anything else besides and no article or
+main element has text elsewhere, more than half of the chosen paths' text.
 
 Blocks are joined in page order by two line feeds; white space inside a block
 becomes one space; character references are decoded. Nothing is dropped or
@@ -40,7 +44,7 @@ SIGMA = 1.0
 
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noembed noframes xmp iframe textarea title noscript template svg math object audio video canvas".split())
+RAW = set("script style noembed noframes xmp iframe textarea title noscript template annotation annotation-xml".split())
 NEVER = set("nav footer aside form button select dialog menu fieldset head".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 ARTICLE = set("article main".split())
@@ -66,6 +70,7 @@ ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side|footer|masthead|breadcrumbs?|ads?|adv|advert\w*|adsense|adslot|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notices|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommended|recommendations|comments?|commentlist|disqus|replies|reply|respond|widget|toolbar|pagination|pager|copyright|disclaimer|search|skip|paywall)(?:$|[\s_-])"
 )
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond)(?:$|[\s_-])")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACES = re.compile(r"[ \t\n\r\f\v\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？；：¡¿،؟]")
@@ -73,13 +78,20 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。，！？；：¡¿،؟]")
 
 class Element:
     """path: the number of its path of structural tags; block: itself or the
-    nearest block above it."""
+    nearest block above it; named: the kind of its class or id, 0 if it names
+    nothing, 1 if a part among other words, 2 for comments and where all words
+    do; under, article and main: itself or the nearest element above that is
+    named, that is an article or main element, and that is a main element."""
 
-    __slots__ = ("tag", "parent", "path", "skip", "depth", "block")
+    __slots__ = ("tag", "parent", "path", "skip", "depth", "block", "named", "under", "article", "main")
 
-    def __init__(self, tag: str, parent: "Element | None", skip: bool, paths: dict[tuple[int, str], int]):
+    def __init__(self, tag: str, parent: "Element | None", skip: bool, paths: dict[tuple[int, str], int], named: int = 0):
         self.tag, self.parent, self.skip = tag, parent, skip
         self.depth = 0 if parent is None else parent.depth + 1
+        self.named = named
+        self.under = self if named else None if parent is None else parent.under
+        self.article = self if tag in ARTICLE else None if parent is None else parent.article
+        self.main = self if tag == "main" else None if parent is None else parent.main
         if parent is None or tag in BLOCK:
             self.path = paths.setdefault((-1 if parent is None else parent.path, tag), len(paths))
             self.block = self
@@ -94,8 +106,6 @@ def left_out(tag: str, attrs: str, inside: set[str]) -> bool:
         return False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and tag not in ("html", "body") and tag not in ARTICLE and NAMES.search(CAMEL.sub("-", value).lower()):
-            return True
         if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -103,9 +113,20 @@ def left_out(tag: str, attrs: str, inside: set[str]) -> bool:
     return False
 
 
+def named(tag: str, attrs: str) -> int:
+    """Whether the class or id names a part beside the article: 1 among other
+    words, 2 for comments and where all words do."""
+    if not attrs.strip(" /\n") or tag in ("html", "body") or tag in ARTICLE:
+        return 0
+    values = [CAMEL.sub("-", m[2] or m[3] or m[4] or "").lower() for m in ATTR.finditer(attrs) if m[1].lower() in ("class", "id")]
+    if not any(map(NAMES.search, values)):
+        return 0
+    return 2 if any(map(COMMENTS.search, values)) or all(NAMES.fullmatch(w) for v in values for w in v.split()) else 1
+
+
 def blocks_of(page: str) -> list[tuple[Element, str]]:
     """The page's blocks of text with their elements, in page order, without
-    those that are never content."""
+    those that are never content; parts named by class or id are still there."""
     paths: dict[tuple[int, str], int] = {}
     root = Element("html", None, False, paths)
     open_: list[Element] = [root]
@@ -126,8 +147,8 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
         count.subtract([e.tag for e in open_[k:]])
         del open_[k:]
 
-    def start(tag: str, parent: Element, skip: bool) -> None:
-        open_.append(Element(tag, parent, skip, paths))
+    def start(tag: str, parent: Element, skip: bool, kind: int = 0) -> None:
+        open_.append(Element(tag, parent, skip, paths, kind))
         count[tag] += 1
 
     at, size = 0, len(page)
@@ -157,6 +178,12 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
         if tag in RAW:
             if not attrs.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea", "iframe"):
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if tag == "xmp" and not open_[-1].skip:
+                    flush()
+                    owner = open_[-1].block
+                    buffer.append(page[at : end.start() if end else size])
+                    flush()
+                    at = size if end is None else at
                 at = end.end() if end else size if tag in ("script", "style", "textarea", "title") else at
             continue
         if tag in VOID:
@@ -186,7 +213,7 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
         else:
             parent = open_[-1]
         inside = {t for t in ARTICLE if count[t] > 0}
-        start(tag, parent, open_[-1].skip or left_out(tag, attrs, inside))
+        start(tag, parent, open_[-1].skip or left_out(tag, attrs, inside), named(tag, attrs))
     flush()
     return out
 
@@ -243,8 +270,48 @@ def container(chosen: list[tuple[Element, str]]) -> Element:
     return max(all_, key=lambda e: e.depth)
 
 
+def without_named(blocks: list[tuple[Element, str]]) -> list[tuple[Element, str]]:
+    """The blocks without the parts named by class or id, but for those parts
+    that hold the page's article."""
+    if not any(e.under for e, _ in blocks):
+        return blocks
+    paths = content_paths(blocks)
+    total, heads, elsewhere = 0, 0, False
+    held: dict[Element, list[int]] = {}  # chosen text, first-rank headings, main elements
+    for e, text in blocks:
+        part = e.under
+        chosen = len(text) if e.path in paths and not (part and part.named == 2) else 0
+        total += chosen
+        heads += e.tag == "h1"
+        elsewhere = elsewhere or part is None and e.article is not None
+        if part:
+            own = held.setdefault(part, [0, 0, 0])
+            own[0] += chosen
+            own[1] += e.tag == "h1"
+        if e.main and e.main.under:
+            held.setdefault(e.main.under, [0, 0, 0])[2] = 1
+    by_depth: dict[int, list[Element]] = {}
+    for e in held:
+        by_depth.setdefault(e.depth, []).append(e)
+    for depth in range(max(by_depth), -1, -1):  # each passes its sums on once, the deepest first
+        for e in by_depth.get(depth, ()):
+            above = e.parent.under
+            if above:
+                if above not in held:
+                    by_depth.setdefault(above.depth, []).append(above)
+                own = held.setdefault(above, [0, 0, 0])
+                for k, x in enumerate(held[e]):
+                    own[k] += 0 if k == 0 and e.named == 2 else x
+    kept: dict[Element | None, bool] = {None: True}
+    for depth in sorted(by_depth):
+        for e in by_depth[depth]:
+            text, h1, main = held[e]
+            kept[e] = kept[e.parent.under] and (main > 0 or 0 < h1 == heads or e.named == 1 and not elsewhere and 2 * text > total)
+    return [x for x in blocks if kept[x[0].under]]
+
+
 def extract(page: str | None) -> str:
-    blocks = blocks_of(page or "")
+    blocks = without_named(blocks_of(page or ""))
     if not blocks:
         return ""
     paths = content_paths(blocks)

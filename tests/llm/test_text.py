@@ -42,6 +42,21 @@ def test_html_split_article():
     assert len(got) == 21 and got[-1] == "Short"
 
 
+def test_html_names_around_the_article():
+    body = "".join(f"<p>Sentence {i}, and more of it.</p>" for i in range(8))
+    side = "<div class=sidebar><p>Side, bar.</p></div>"
+    for name in ("content with-sidebar", "no-sidebar", "post social", "has-related", "page-search"):
+        for inner in (body, f"<article>{body}</article>", f"<main>{body}</main>", f"<div class='no-sidebar'>{body}</div>"):
+            got = html_extract.extract(f"<body>{side}<div class='{name}'>{inner}<div class=share>Share, now.</div></div></body>")
+            assert len(got.split("\n\n")) == 8 and got.startswith("Sentence 0"), (name, inner)
+    assert html_extract.extract(f"<div class=sidebar><h1>Title</h1>{body}</div>").startswith("Title")
+    thread = "".join(f"<article class=comment><p>Great post, thanks. {i}</p></article>" for i in range(30))
+    got = html_extract.extract(f"<body><div class=post>{body}</div><div id=comments class=comments-area>{thread}</div></body>")
+    assert len(got.split("\n\n")) == 8 and html_extract.extract("<div class=menu>a, b.</div>") == ""
+    got = html_extract.extract(f"<article>{body}<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds, <object>a figure</object> <canvas>and text</canvas>.</p><xmp>a <b> c</xmp></article>")
+    assert got.endswith("So x=2 holds, a figure and text.\n\na <b> c")
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.NET/x?y=/z", "http://b.org/fr/1", "http://www.example.net/en/1#t", "http://example.net/de/", "http://net", "http://x.example.com/de/a?b", "http://cheap-pills.example.com/en/1", "http://calm.example.com/en/2", "http://Ünet.ÅB.com/"]
     df = spark.createDataFrame([(i, u, "v") for i, u in enumerate(urls)] + [(3, urls[3], "v")], "page_id bigint, url string, verdict string")
