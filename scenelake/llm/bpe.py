@@ -14,15 +14,19 @@ remembered. What is remembered is bounded (see ``Memory``).
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from .common import strings
+
 #: Words of more symbols than this use the heap instead of the rank array,
 #: whose scans cost the square of the length.
 SHORT_WORD = 200
@@ -61,7 +65,7 @@ class Memory:
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself where it is
-    printable in Latin-1, else the next one from U+0100 on."""
+    printable in Latin-1 (fixed ranges), else the next one from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     free = iter(range(0x100, 0x200))
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
@@ -85,7 +89,10 @@ class WordBpe:
         self.ranks = {p: r for r, p in enumerate(pairs)}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", WHITE))
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        if split["pattern"].get("Regex") != PATTERN or split["behavior"] != "Removed" or not split["invert"]:
+            raise ValueError("unknown pattern of words")
+        self.words = regex.compile(PATTERN.replace("\\s", WHITE))
         if not all("<" in x for x in self.special):
             raise ValueError("special tokens are looked for only where a text has <")
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -115,11 +122,91 @@ class WordBpe:
 #: Its small form depends on its place in a word for str.lower, not for the tokenizer.
 SIGMA = "\u03a3"
 
+#: Marks that are a word of their own to the tokenizer after a letter.
+MARKS = b".,;:!?|#$%&*"
+
+#: The first character after the Latin blocks.
+LATIN_END = 0x250
+
+#: What each Latin character is: 1 a lower-case letter that no normaliser changes, 2 one of MARKS.
+LATIN = np.zeros(LATIN_END, np.uint8)
+LATIN[[c for c in range(LATIN_END) if (x := chr(c)).isalpha() and x == x.lower() and unicodedata.is_normalized("NFC", x)]] = 1
+LATIN[list(MARKS)] = 2
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """Of each byte of UTF-8 its character's entry in LATIN, 0 beyond."""
+    out = np.where(data < 0x80, LATIN[np.minimum(data, 0x7F)], 0)
+    two = np.flatnonzero((data >= 0xC2) & (data <= 0xC9))
+    if len(two):
+        points = (data[two].astype(np.int64) & 0x1F) << 6 | data[two + 1] & 0x3F
+        out[two] = out[two + 1] = np.where(points < LATIN_END, LATIN[np.minimum(points, LATIN_END - 1)], 0)
+    return out
+
+
+def word_bytes(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The bytes of each chunk's word if it is a lower-case Latin word and
+    MARKS, or none, after it; 0 for any other chunk."""
+    kind = kinds(data)
+    upto = lambda k: np.concatenate([np.zeros(1, np.int32), np.cumsum(kind == k, dtype=np.int32)])
+    letters, begin = upto(1), cuts[:-1]
+    n = letters[cuts[1:]] - letters[begin]
+    front = letters[begin + n] - letters[begin] == n
+    if (kind == 2).any():
+        marks = upto(2)
+        whole = n + marks[cuts[1:]] - marks[begin] == cuts[1:] - begin
+    else:
+        whole = n == cuts[1:] - begin
+    return np.where(whole & front, n, 0)
+
+
+def plain(chunks: list[bytes]) -> list[bool]:
+    """Whether each chunk is one lower-case Latin word."""
+    cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))])
+    n = word_bytes(np.frombuffer(b"".join(chunks), np.uint8), cuts)
+    return ((n > 0) & (n == np.diff(cuts))).tolist()
+
+
+def told_apart(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The batch's different chunks, the number of each text's chunks among
+    them, text after text, and where each text ends in that.
+
+    A chunk is what stands between ASCII white space, with A-Z lower-cased if
+    no special token can be in the text; marks behind a plain word are a chunk
+    of their own, as they are a word of their own to the tokenizer. Some are empty."""
+    texts = strings(texts)
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+    flat = lists.flatten()
+    ends = 2 * np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    if not len(flat):
+        return [], np.zeros(0, np.int64), ends
+    cuts = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, 4 * flat.offset)
+    data = flat.buffers()[2] if flat.buffers()[2] is not None else pa.py_buffer(b"")
+    size = np.diff(cuts)
+    word = word_bytes(np.frombuffer(data, np.uint8, cuts[-1]), cuts)
+    both = np.empty(2 * len(flat) + 1, np.int32)
+    both[::2], both[1::2] = cuts, cuts[:-1] + np.where(word > 0, word, size)
+    coded = pa.StringArray.from_buffers(2 * len(flat), pa.py_buffer(both), data).dictionary_encode()
+    return byte_strings(coded.dictionary), coded.indices.to_numpy(), ends
+
+
+def byte_strings(values: pa.Array) -> list[bytes]:
+    """A string array's values as bytes; slices of its buffer are far cheaper
+    than a scalar object each."""
+    if not len(values):
+        return []
+    cuts = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset).tolist()
+    data = values.buffers()[2].to_pybytes() if values.buffers()[2] is not None else b""
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+#: The pattern of words of the files that are read (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 #: White space as the tokenizer's pattern language has it (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-@functools.cache
 def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 

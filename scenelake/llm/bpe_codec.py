@@ -15,14 +15,15 @@ a rank array cost the square of the length.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import map_rows, text_bytes
+from .common import held, map_rows, text_bytes
 
 #: Remembered chunks and words of each worker: about 90 MB each generation.
 CHUNKS, WORDS = 200_000, 150_000
@@ -56,23 +57,28 @@ class Codec:
             return got[0]
         return sum([x[0] for x in got]), b" ".join([x[1] for x in got]), b" ".join([x[2] for x in got])
 
-    def digest(self, text: bytes) -> tuple[int, str, str]:
-        """Number of ids, and SHA-256 of the ids and of the decoded text."""
-        got = self.chunk.all(text.split())
-        if not got:
-            return 0, NOTHING, NOTHING
-        n, ids, names = zip(*got)
-        if 0 in n:  # chunks of Unicode's other white space
-            ids, names = filter(None, ids), filter(None, names)
-        return sum(n), hashlib.sha256(b" ".join(ids)).hexdigest(), hashlib.sha256(b" ".join(names)).hexdigest()
+    def digests(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+        """Of each text its number of ids, and SHA-256 of the ids and of the
+        decoded text. Only the batch's different chunks are looked up."""
+        chunks, which, ends = bpe.told_apart(texts)
+        got = self.chunk.all(chunks)
+        ids, names = [x[1] for x in got], [x[2] for x in got]
+        n = np.fromiter((x[0] for x in got), np.int64, len(got))[which]
+        some = n > 0  # the others are empty or Unicode's other white space
+        total, left = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(some))
+        which = which[some]
+        begins = np.append(0, ends[:-1])
+        out: tuple[list, list, list] = ([], [], [])
+        for a, b, k in zip(left[begins].tolist(), left[ends].tolist(), (total[ends] - total[begins]).tolist()):
+            w = which[a:b].tolist()
+            out[0].append(k)
+            out[1].append(hashlib.sha256(b" ".join([ids[i] for i in w])).hexdigest())
+            out[2].append(hashlib.sha256(b" ".join([names[i] for i in w])).hexdigest())
+        return out
 
 
-NOTHING = hashlib.sha256(b"").hexdigest()
-
-
-@functools.cache
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return held(("codec", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,10 +97,9 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
 
-    def run(keys: list, texts: list) -> list:
-        c = codec(tokenizer)
-        return [keys, *map(list, zip(*[c.digest(t) for t in texts]))] if keys else [[], [], [], []]
+    def run(keys: pa.Array, texts: pa.Array) -> list:
+        return [keys, *codec(tokenizer).digests(texts)]
 
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("key"), text_bytes(text_col).alias("bytes"))
-    return map_rows(src, run, ["key", "bytes"], f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_rows(src, run, ["key", "bytes"], f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", arrow=True)

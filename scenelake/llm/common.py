@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenelake.sources import tables
+
 #: Rows of one Arrow batch. Documents may have a hundred thousand characters,
 #: so the default of 10,000 rows would let one batch hold a gigabyte.
 BATCH_ROWS = 500
@@ -29,20 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only on local[*]."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    found = f"file://{tempfile.gettempdir()}/checkpoints"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{tables.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -50,7 +41,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     lost executor costs a reread instead of a recomputation."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+#: The folder of each table that ``materialise`` returned and that is still in use.
+_paths: dict[int, str] = {}
+
+
+def release(*tables_: DataFrame) -> None:
+    """Remove the folders of materialised tables that nothing will read again."""
+    for df in tables_:
+        if path := _paths.pop(id(df), None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+#: What this worker keeps between tasks: one operator's tables at a time.
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """make(), remembered under its key until another key is asked for, so a
+    worker that serves one stage after another holds one stage's memory."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 def text_bytes(col: str | Column) -> Column:
@@ -58,30 +78,43 @@ def text_bytes(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")
 
 
-def map_rows(df: DataFrame, fn: Callable[[list], list], columns: list[str], schema: str) -> DataFrame:
-    """mapInArrow by columns: fn gets one Python list for each of ``columns``
-    and returns one list for each column of ``schema``."""
+def map_rows(df: DataFrame, fn: Callable[..., list], columns: list[str], schema: str, arrow: bool = False) -> DataFrame:
+    """mapInArrow by columns: fn gets one Python list (``arrow``: one array)
+    for each of ``columns`` and returns one for each column of ``schema``."""
     small_batches(df.sparkSession)
     out = df.sparkSession.createDataFrame([], schema).schema
-    arrow = arrow_schema(out)
+    kinds = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = fn(*(b.column(i).to_pylist() for i in range(b.num_columns)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(got, arrow)], schema=arrow)
+            got = fn(*(c if arrow else c.to_pylist() for c in b.columns))
+            yield pa.RecordBatch.from_arrays([as_array(x, f.type) for x, f in zip(got, kinds)], schema=kinds)
 
     return df.select(*columns).mapInArrow(run, out)
 
 
+def as_array(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
+def strings(values: pa.Array) -> pa.Array:
+    """Text or its bytes as an array of strings with 32-bit offsets, null as
+    empty; bytes that are no UTF-8 are replaced."""
+    try:
+        return pc.fill_null(values.cast(pa.string()), "")
+    except pa.ArrowInvalid:
+        return pa.array([(x if isinstance(x, bytes) else x.encode()).decode(errors="replace") if x is not None else "" for x in values.to_pylist()], pa.string())
+
+
 def arrow_schema(schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(schema)
 
 
-def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list], list]) -> DataFrame:
-    """The rows of df for whose text (bytes, null as empty) ``keep`` says True,
-    with all their columns and without a shuffle."""
+def filter_rows(df: DataFrame, text_col: str, keep: Callable[[pa.Array], list]) -> DataFrame:
+    """The rows of df for whose text (an array of bytes, null as empty)
+    ``keep`` says True, with all their columns and without a shuffle."""
     small_batches(df.sparkSession)
     src = df.select("*", text_bytes(text_col).alias("_bytes"))
     src = src.toDF(*[f"c{i}" for i in range(len(src.columns))])  # names may repeat
@@ -89,7 +122,7 @@ def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list], list]) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            mask = pa.array(keep(b.column(b.num_columns - 1).to_pylist()), pa.bool_())
+            mask = pa.array(keep(b.column(b.num_columns - 1)), pa.bool_())
             yield b.select(range(b.num_columns - 1)).filter(mask)
 
     return src.mapInArrow(run, out).toDF(*df.columns)

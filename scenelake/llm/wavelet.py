@@ -14,31 +14,30 @@ Defined results: a null text counts as empty; an empty text has the end id
 alone; null ids come first; rows of equal ids are ordered by text and each
 keeps its place; further columns are left out; an empty table writes no shard.
 
-The library is asked for each chunk between ASCII white space, once for as
-long as the chunk is remembered: its pattern drops white space and its
-normaliser joins nothing across it, so a text's ids are its chunks' ids. A
-chunk of lower-case Latin letters goes straight to the library's model. The
-file must be of the kind that ``bpe.WordBpe`` reads.
+The library is asked for each chunk (see ``bpe.told_apart``), once for as long
+as the chunk is remembered: its pattern drops white space and its normaliser
+joins nothing across it, so a text's ids are its chunks' ids. Lower-case Latin
+words go straight to the library's model, many at a time. The file must be of
+the kind that ``bpe.WordBpe`` reads, its pattern of words included.
 """
 
 from __future__ import annotations
 
-import functools
 import os
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenelake.operators.ordering import running_sum
+
 from . import bpe
-from .common import arrow_schema, small_batches
+from .common import arrow_schema, held, small_batches
 
 BLOCK = 512
 
@@ -62,14 +61,14 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, width: int) -> "WaveletMatrix":
         n, planes = len(ids), []
         for b in range(width - 1, -1, -1):
-            one = (ids >> b & 1).astype(bool)
+            one = ((ids >> b).astype(np.uint8) & 1).view(bool)
             bits = np.packbits(one, bitorder="little")
             bits = np.concatenate([bits, np.zeros(-len(bits) % (BLOCK // 8), np.uint8)]).view("<u8")
             ones = np.bitwise_count(bits).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
             ranks = np.concatenate([np.zeros(1, np.uint32), np.cumsum(ones, dtype=np.uint32)])
-            low = ids[~one]
+            low = np.compress(~one, ids)
             planes.append((len(low), ranks, bits))
-            ids = np.concatenate([low, ids[one]])
+            ids = np.concatenate([low, np.compress(one, ids)])
         return cls(n, planes)
 
     def to_bytes(self) -> bytes:
@@ -125,93 +124,112 @@ class WaveletMatrix:
         a, b = self._range(token, i, self.n if j is None else j)
         return b - a
 
+    def _select(self, plane: tuple[int, np.ndarray, np.ndarray], one: int, k: np.ndarray) -> np.ndarray:
+        """Places of the k-th ones (or zeros) of a plane, k ascending: the
+        sampled ranks give the block, counts of its words the word, and the
+        word's bits the place. Only the blocks that hold one are read."""
+        _, ranks, bits = plane
+        before = ranks.astype(np.int64)
+        if not one:
+            before = np.arange(len(ranks)) * BLOCK - before
+        block = np.searchsorted(before, k, "right") - 1
+        words = bits.reshape(-1, BLOCK // 64)[block]
+        if not one:
+            words = ~words
+        upto = np.cumsum(np.bitwise_count(words), 1, dtype=np.int64)
+        left = k - before[block]
+        word = (upto <= left[:, None]).sum(1)
+        at = np.arange(len(k))
+        left = left - np.where(word > 0, upto[at, np.maximum(word, 1) - 1], 0)
+        bit = np.unpackbits(words[at, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return block * BLOCK + word * 64 + np.argmax(np.cumsum(bit, 1, dtype=np.int64) > left[:, None], 1)
+
+    def _up(self, token: int, at: np.ndarray) -> np.ndarray:
+        """Places in the sequence of places in the token's run at the bottom."""
+        for k, plane in enumerate(reversed(self.planes)):
+            at = self._select(plane, 1, at - plane[0]) if token >> k & 1 else self._select(plane, 0, at)
+        return at
+
     def occurrences(self, token: int) -> np.ndarray:
         """All places of the token, ascending: its run at the bottom, taken up
         plane by plane with select."""
         a, b = self._range(token, 0, self.n)
-        at = np.arange(a, b)
-        for k, (zeros, _, bits) in enumerate(reversed(self.planes)):
-            one = np.unpackbits(bits.view(np.uint8), count=self.n, bitorder="little").astype(bool)
-            at = np.flatnonzero(one)[at - zeros] if token >> k & 1 else np.flatnonzero(~one)[at]
-        return at
+        return np.concatenate([np.zeros(0, np.int64), *(self._up(token, np.arange(i, min(b, i + STRIDE))) for i in range(a, b, STRIDE))])
 
     def select(self, token: int, k: int) -> int:
         """Place of the token's k-th occurrence, from 0; -1 if there are fewer."""
-        at = self.occurrences(token)
-        return int(at[k]) if 0 <= k < len(at) else -1
+        a, b = self._range(token, 0, self.n)
+        return int(self._up(token, np.array([a + k]))[0]) if 0 <= k < b - a else -1
 
     def all(self) -> np.ndarray:
         """The whole sequence."""
         dtype = np.uint16 if len(self.planes) <= 16 else np.uint32
         ids = np.zeros(self.n, dtype)
         for k, (zeros, _, bits) in enumerate(reversed(self.planes)):
-            one = np.unpackbits(bits.view(np.uint8), count=self.n, bitorder="little").astype(bool)
+            one = np.unpackbits(bits.view(np.uint8), count=self.n, bitorder="little").view(bool)
             up = np.empty(self.n, dtype)
-            up[~one] = ids[:zeros]
-            up[one] = ids[zeros:] | dtype(1 << k)
+            up[np.flatnonzero(~one)] = ids[:zeros]
+            up[np.flatnonzero(one)] = ids[zeros:] | dtype(1 << k)
             ids = up
         return ids
 
 
+#: Occurrences that are taken up through the planes at a time.
+STRIDE = 1 << 16
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library."""
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        bpe.word_bpe(path)  # refuses a file of another kind
+        kind = bpe.word_bpe(path)  # refuses a file of another kind
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        top = max(self.lib.get_vocab_size(with_added_tokens=True) - 1, end_id)
+        self.plain = Tokenizer(self.lib.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+        names = self.lib.get_vocab(with_added_tokens=True)
+        top = max([*names.values(), end_id])
         self.width = top.bit_length()
         self.dtype = np.dtype("<u2" if self.width <= 16 else "<u4")
-        self.code = "H" if self.width <= 16 else "I"
+        self.last = np.zeros(top + 1, bool)  # tokens that end a word
+        self.last[[i for s, i in names.items() if kind.end and s.endswith(kind.end)]] = True
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.model = self.lib.model
-        self.symbols = dict(enumerate(bpe.byte_symbols()))
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def ask(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Ids from the library: a plain word from its model, any other chunk
-        through its normaliser and word pattern too."""
-        out, rest = {}, []
-        for c in chunks:
-            if (word := plain_word(c)) is None:
-                rest.append(c)
-            else:
-                ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]
-                out[c] = struct.pack(f"<{len(ids)}{self.code}", *ids)
-        for k in range(0, len(rest), 10_000):
-            part = rest[k : k + 10_000]
+        """Ids from the library, a batch at a time."""
+        out = {}
+        for k in range(0, len(chunks), 10_000):
+            part = chunks[k : k + 10_000]
             for c, e in zip(part, self.lib.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                out[c] = struct.pack(f"<{len(e.ids)}{self.code}", *e.ids)
+                out[c] = np.array(e.ids, self.dtype).tobytes()
         return out
 
-    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks that the young generation lacks. A plain word and the
-        marks after it are two words to the tokenizer, and are asked for apart."""
-        got, both, need = {}, {}, set()
-        for c in chunks:
-            if (v := self.old.get(c)) is not None:
-                got[c] = v
-            elif c and c[-1] in MARKS and plain_word(word := c.rstrip(MARKS)) is not None:
-                both[c] = word, c[len(word) :]
-            else:
-                need.add(c)
-        have = {}
-        for pair in both.values():
-            for w in pair:
-                if w not in need and w not in have:
-                    if (v := self.young.get(w) or self.old.get(w)) is None:
-                        need.add(w)
-                    else:
-                        have[w] = v
-        got |= self.ask(list(need))
-        for c, (a, b) in both.items():
-            got[c] = (got.get(a) or have[a]) + (got.get(b) or have[b])
+    def ask_plain(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of plain words from the library's model, all in one text; each
+        word's last token says that it is."""
+        ids = np.array(self.plain.encode(b" ".join(words).decode(), add_special_tokens=False).ids, self.dtype)
+        cuts = ((np.flatnonzero(self.last[ids]) + 1) * ids.itemsize).tolist()
+        if len(cuts) != len(words):
+            return self.ask(words)
+        data = ids.tobytes()
+        return {w: data[a:b] for w, a, b in zip(words, [0, *cuts], cuts)}
+
+    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that the young generation lacks."""
+        old = self.old.get
+        got = {c: v for c in chunks if (v := old(c)) is not None}
+        new = [c for c in chunks if c not in got] if got else chunks
+        plain = bpe.plain(new)
+        if words := [c for c, p in zip(new, plain) if p]:
+            got |= self.ask_plain(words)
+        if rest := [c for c, p in zip(new, plain) if not p]:
+            got |= self.ask(rest)
         if len(self.young) + len(got) > CHUNKS:
             self.old, self.young = self.young, {}
         self.young |= {c: v for c, v in got.items() if len(c) <= bpe.LONGEST_KEY}
@@ -219,60 +237,25 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts, each closed by the end id, and the
-        texts' ends among them. Chunks are told apart in Arrow, so that only
-        the batch's different ones are looked up."""
-        # the normaliser lowers letters anyway; only special tokens' strings come before it
-        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
-        coded = lists.flatten().dictionary_encode()
-        chunks = byte_strings(coded.dictionary)
+        texts' ends among them. Only the batch's different chunks are looked up."""
+        chunks, which, last = bpe.told_apart(texts)
         ids = list(map(self.young.get, chunks))
-        if missing := {c for c, v in zip(chunks, ids) if v is None}:
-            got = self.learn(missing)
+        if None in ids:
+            got = self.learn([c for c, v in zip(chunks, ids) if v is None])
             ids = [got[c] if v is None else v for c, v in zip(chunks, ids)]
         ids.append(self.end)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
         first = np.cumsum(size) - size
-        last = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        which = np.insert(coded.indices.to_numpy(), last, len(ids) - 1)
+        which = np.insert(which, last, len(ids) - 1)
         n = size[which]
         up = np.cumsum(n)
         at = np.repeat(first[which] - (up - n), n)
         at += np.arange(len(at))
-        return np.frombuffer(b"".join(ids), self.dtype)[at], up[last + np.arange(len(last))]
-
+        return np.frombuffer(b"".join(ids), self.dtype).take(at), up[last + np.arange(len(last))]
 
-def byte_strings(values: pa.Array) -> list[bytes]:
-    """A string array's values as bytes; slices of its buffer are far cheaper
-    than a scalar object each."""
-    if not len(values):
-        return []
-    cuts = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset).tolist()
-    data = values.buffers()[2].to_pybytes() if values.buffers()[2] is not None else b""
-    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
-
-#: Marks that are a word of their own to the tokenizer after a letter.
-MARKS = b".,;:!?|#$%&*"
-
-
-def plain_word(chunk: bytes) -> str | None:
-    """The chunk if it is one word to the tokenizer and no normaliser changes
-    it: lower-case Latin letters in composed form."""
-    word = chunk.decode()
-    if not word.isalpha():
-        return None
-    if word.isascii():
-        return word if word.islower() else None
-    return word if max(word) < LATIN_END and word == word.lower() and unicodedata.is_normalized("NFC", word) else None
-
-
-#: The first character after the Latin blocks.
-LATIN_END = "\u0250"
-
-
-@functools.cache
 def encoder(path: str, end_id: int) -> Encoder:
-    return Encoder(path, end_id)
+    return held(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -309,7 +292,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
             yield shard()
 
     src = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    ordered = src.repartitionByRange("key").sortWithinPartitions("key", "content")
+    # rows of one id are dealt out by their texts' beginnings
+    ordered = src.repartitionByRange("key", F.substring("content", 1, 64)).sortWithinPartitions("key", "content")
     ordered.mapInArrow(run, out).write.option("compression", "zstd").parquet(path)
 
 
@@ -318,12 +302,8 @@ def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     files = spark.read.parquet(path)
     kind = files.schema["ids"].dataType.elementType.simpleString()
     small_batches(spark)
-    from pyspark.sql import Window
-
-    sizes = files.select("part", "seq", "n_tokens")
-    before = F.sum("n_tokens").over(Window.orderBy("part", "seq")) - F.col("n_tokens")
-    starts = sizes.select("part", "seq", before.alias("start"))
-    if sizes.count() <= MOST_BROADCAST:
+    starts = running_sum(files.select("part", "seq", "n_tokens"), ["part", "seq"], "n_tokens", "start").select("part", "seq", "start")
+    if files.count() <= MOST_BROADCAST:
         starts = F.broadcast(starts)
     out = spark.createDataFrame([], f"{id_col} {kind}, start bigint, n_tokens bigint, ids_crc32 bigint").schema
     arrow = arrow_schema(out)

@@ -12,6 +12,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from scenelake.llm import bpe, bpe_codec, token_counts, wavelet  # noqa: E402
+from scenelake.llm.common import new_path  # noqa: E402
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id bigint, text string, n_tokens int, key string"
@@ -21,7 +22,8 @@ ALPHABET = [*"abcXYZ 'sSΣσςİıß \x1c\x1d\x85 ᠎​﻿0١²½Ⅷ漢字か
 def texts():
     rng = random.Random(5)
     made = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 50))) for _ in range(400)]
-    return [None, "", " \n\t", "a" * 3000, "the cat sat " * 3000, "<|endoftext|>x", "same", "same", *made]
+    long = ["".join(rng.choice("theaningéöçß") for _ in range(n)) for n in (199, 200, 201, 5000)]
+    return [None, "", " \n\t", "a" * 3000, "the cat sat " * 3000, "<|endoftext|>x", "same", "same", *long, *made]
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +60,7 @@ def test_counts(docs, lib):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert bpe_codec.digests(none, PATH).count() == token_counts.count_tokens(none, PATH).count() == 0
-    path = f"/tmp/checkpoints/test-{random.random()}"
+    path = new_path(spark, "test")
     wavelet.write_shards(none, path, PATH)
     assert wavelet.read_shards(spark, path).count() == 0
 
@@ -81,7 +83,7 @@ def test_memory_is_bounded():
 
 
 def test_shards(docs, spark, lib):
-    path = f"/tmp/checkpoints/test-{random.random()}"
+    path = new_path(spark, "test")
     wavelet.write_shards(docs, path, PATH, shard_tokens=500)
     assert spark.read.parquet(path).count() > 3
     got = sorted(((r.doc_id is not None, r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in wavelet.read_shards(spark, path).collect())
@@ -106,3 +108,53 @@ def test_wavelet_matrix(n):
         assert w.count(t) == len(where) and (w.occurrences(t) == where).all()
         assert w.count(t, n // 3, n // 2) == (ids[n // 3 : n // 2] == t).sum()
         assert w.select(t, 0) == (where[0] if len(where) else -1) and w.select(t, len(where)) == -1
+        for k in range(0, len(where), 5):
+            assert w.select(t, k) == where[k]
+
+
+def test_select_reads_single_blocks():
+    ids = np.random.default_rng(1).integers(0, 5, 100_000).astype(np.uint16)
+    w = wavelet.WaveletMatrix.build(ids, 3)
+
+    class Counted:
+        def __init__(self, bits):
+            self.bits, self.read = bits, 0
+
+        def reshape(self, *shape):
+            return CountedRows(self, self.bits.reshape(*shape))
+
+    class CountedRows:
+        def __init__(self, owner, rows):
+            self.owner, self.rows = owner, rows
+
+        def __getitem__(self, at):
+            self.owner.read += len(at)
+            return self.rows[at]
+
+    where = np.flatnonzero(ids == 3)
+    begin, end = w._range(3, 0, w.n)
+    planes = [(z, r, Counted(b)) for z, r, b in w.planes]
+    w.planes = planes
+    assert w._up(3, np.array([begin + 700]))[0] == where[700] and end - begin == len(where)
+    assert [b.read for _, _, b in planes] == [1, 1, 1]
+
+
+def test_other_kinds_of_files_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "\\S+"
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        bpe.WordBpe(str(other))
+
+
+def test_chunks_are_told_apart():
+    import pyarrow as pa
+
+    chunks, which, ends = bpe.told_apart(pa.array(["The, the. x1, été!! <|", None, "a,b"]))
+    got = [chunks[i].decode() for i in which]
+    assert [[x for x in got[a:b] if x] for a, b in zip([0, *ends], ends)] == [["The,", "the", ".", "x1,", "été", "!!", "<|"], [], ["a,b"]]
+    chunks, which, _ = bpe.told_apart(pa.array(["The, été!! x1, É."]))
+    assert [chunks[i].decode() for i in which] == ["the", ",", "été", "!!", "x1,", "", "É.", ""]
