@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.sources import tables
+from scenelake.sources.tables import gone_at_exit, mark, materialise, new_path, release
+
+__all__ = ["gone_at_exit", "mark", "materialise", "new_path", "release"]
 
 #: Rows of one Arrow batch. Documents may have a hundred thousand characters,
 #: so the default of 10,000 rows would let one batch hold a gigabyte.
@@ -32,34 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{tables.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and a
-    lost executor costs a reread instead of a recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = path
-    weakref.finalize(out, _paths.pop, id(out), None)
-    return out
-
-
-#: The folder of each table that ``materialise`` returned and that is still in use.
-_paths: dict[int, str] = {}
-
-
-def release(*tables_: DataFrame) -> None:
-    """Remove the folders of materialised tables that nothing will read again."""
-    for df in tables_:
-        if path := _paths.pop(id(df), None):
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
 #: What this worker keeps between tasks: one operator's tables at a time.
 _held: dict = {}
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import mark, materialise, release
 
 
 def star(links: DataFrame, large: bool) -> DataFrame:
@@ -37,10 +37,12 @@ def components(links: DataFrame) -> DataFrame:
     and links with a null are ignored."""
     whole = links.filter("u is not null and v is not null and u <> v")
     now = whole.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    before = mark()
     now = materialise(now, "links")
     seen = state(now)
     while seen[0]:
         now = materialise(star(star(now, True), False), "links")
+        release(now.sparkSession, before, now)
         if (new := state(now)) == seen:
             break
         seen = new

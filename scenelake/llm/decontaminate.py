@@ -1,19 +1,20 @@
 """Operator 1: benchmark decontamination by pigeonhole edit matching.
 
-Texts and items become lower-case words (runs of letters, digits and
-underscores). An item of m words may differ from a passage by up to
-``BUDGET`` * m word edits, rounded down: a similarity of 0.8 or more. It is
-split into one piece more than that, so a passage within the budget holds at
-least one piece unchanged. All pieces of a block of items go into one
-Aho-Corasick automaton; where a piece is found, the item's place is known to
-within the budget, and Myers' bit-parallel distance, over words, verifies that
-window.
+Texts and items become lower-case words: runs of letters, digits and
+underscores, and each character of a script that is written without spaces.
+An item of m words may differ from a passage by up to ``BUDGET`` * m word
+edits, rounded down: a similarity of 0.8 or more, so items of fewer than five
+words must stand there as they are. An item is split into one piece more than
+that, so a passage within the budget holds at least one piece unchanged. All
+pieces of a block of items go into one Aho-Corasick automaton; where a piece
+is found, the item's place is known to within the budget, and Myers'
+bit-parallel distance, over words, verifies that window.
 
 Documents are only read through: nothing is shuffled, and a document's hits
-never meet another's. Items come in blocks of bounded size.
+never meet another's. Items come in blocks of bounded size, one at a time; if
+there are several, each block's result is written before the next is read.
 
-Defined results: a null text or item has no words; items of fewer than
-``LEAST_WORDS`` words match only a text of just those words; equal items and
+Defined results: a null text or item has no words and matches nothing; equal items and
 equal rows each keep their rows; empty tables give no rows; further columns
 are left out.
 """
@@ -22,20 +23,31 @@ from __future__ import annotations
 
 import functools
 import re
+import uuid
+from collections.abc import Callable
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, map_rows
+from .common import filter_rows, held, map_rows, mark, materialise, release, strings
 
 BUDGET = 0.2
-LEAST_WORDS = 5
 
 #: Bytes of item text that one block, and so one pass over the documents, takes.
 BLOCK_BYTES = 16 << 20
 
-WORD = re.compile(r"\w+")
+#: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han (fixed ranges).
+NO_SPACES = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+RUN = re.compile(r"\w+")
+SCRIPT = re.compile(f"[{NO_SPACES}]")
+MIXED = re.compile(rf"[{NO_SPACES}]|(?:(?![{NO_SPACES}])\w)+")
+
+
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    return RUN.findall(text) if text.isascii() or not SCRIPT.search(text) else MIXED.findall(text)
 
 
 def myers(pattern: dict, m: int, words: list) -> list[int]:
@@ -71,14 +83,12 @@ class Matcher:
     """The pieces of a block of items and what to verify them with."""
 
     def __init__(self, items: tuple[tuple[object, str], ...], budget: float):
-        self.items, self.whole, self.find = [], {}, ahocorasick.Automaton()
+        self.items, self.find = [], ahocorasick.Automaton()
         pieces: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
-            words = WORD.findall(text.lower())
+            words = words_of(text)
             m = len(words)
-            if m < LEAST_WORDS:
-                if m:
-                    self.whole.setdefault(" ".join(words), []).append(key)
+            if not m:
                 continue
             k, n = int(budget * m), len(self.items)
             self.items.append((key, m, k, places(words), places(words[::-1])))
@@ -92,14 +102,12 @@ class Matcher:
 
     def match(self, text: str) -> list[tuple]:
         """(item, edits, first word, end word) of each item in the text."""
-        words = WORD.findall(text.lower())
-        joined = " ".join(words)
-        out = [(key, 0, 0, len(words)) for key in self.whole.get(joined, ())] if len(words) < LEAST_WORDS else []
         if not self.items:
-            return out
+            return []
+        words, out = words_of(text), []
         hits: dict[int, set[int]] = {}
         counted = seen = 0
-        text = f" {joined} "
+        text = f" {' '.join(words)} "
         for end, (size, at) in self.find.iter(text):
             begin = end - size + 1
             if begin > seen:
@@ -134,18 +142,14 @@ class Matcher:
         return best
 
 
-@functools.lru_cache(maxsize=4)
-def matcher(items: tuple, budget: float) -> Matcher:
-    return Matcher(items, budget)
-
-
-def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[tuple]:
-    """The items in blocks of bounded size, read one block at a time."""
+def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Callable[[int], tuple[str, tuple]]]:
+    """The number of blocks of bounded size that the items make, and how to
+    read one: its name and its items."""
     rows = items.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter("t <> ''")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // block_bytes)
     of = F.pmod(F.xxhash64("k", "t"), F.lit(max(n, 1)))
-    return [tuple(sorted(((r.k, r.t) for r in rows.filter(of == i).collect()), key=str)) for i in range(n)]
+    return n, lambda i: (uuid.uuid4().hex, tuple(sorted(((r.k, r.t) for r in rows.filter(of == i).collect()), key=str)))
 
 
 def contaminated(
@@ -157,25 +161,37 @@ def contaminated(
     schema = f"{id_col} {kind}, {item_col} {item_kind}, contaminated boolean, n_edits int, first_word int, end_word int"
     src = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("content")).filter("content is not null")
 
-    def scan(block: tuple) -> DataFrame:
+    def scan(name: str, block: tuple) -> DataFrame:
         def run(keys: list, texts: list) -> list:
-            match = matcher(block, budget).match
+            match = held(name, lambda: Matcher(block, budget)).match
             got = [(key, item, True, *where) for key, t in zip(keys, texts) for item, *where in match(t)]
             return [list(x) for x in zip(*got)] if got else [[]] * 6
 
         return map_rows(src, run, ["key", "content"], schema)
 
-    found = [scan(x) for x in blocks(items, item_col, item_text, block_bytes)]
+    n, block = blocks(items, item_col, item_text, block_bytes)
+    if n == 1:
+        return scan(*block(0))
+    found = [materialise(scan(*block(i)), "hits") for i in range(n)]
     return functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, budget: float = BUDGET, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows that hold no item, with all their columns."""
-    for block in blocks(items, item_col, item_text, block_bytes):
-
-        def clean(texts: list, block=block) -> list:
-            match = matcher(block, budget).match
-            return [not match(t.decode()) for t in texts]
-
-        docs = filter_rows(docs, text_col, clean)
-    return docs
+    n, block = blocks(items, item_col, item_text, block_bytes)
+
+    def clean(name: str, of: tuple) -> Callable[[pa.Array], list]:
+        def run(texts: pa.Array) -> list:
+            match = held(name, lambda: Matcher(of, budget)).match
+            return [not match(t) for t in strings(texts).to_pylist()]
+
+        return run
+
+    begun, names = mark(), docs.columns
+    for i in range(n):
+        docs = filter_rows(docs, text_col, clean(*block(i)))
+        if n > 1:
+            text_col = f"c{names.index(text_col)}" if i == 0 else text_col
+            docs = materialise(docs.toDF(*[f"c{k}" for k in range(len(names))]), "clean")
+            release(docs.sparkSession, begun, docs)
+    return docs.toDF(*names)

@@ -141,9 +141,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: t
 
 
 def keep(docs: DataFrame, text_col: str = "text", by: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """The rows that pass, with their own columns. The texts are measured
-    twice, for the sketches and for the verdict, rather than shuffled."""
+    """The rows that pass, with their own columns. Rows are measured once and
+    written with their counts, from which the fences and the verdict come."""
     lang, source = keys(docs, by)
-    counted = with_counts(docs.withColumn("_lang", lang).withColumn("_source", source), text_col)
+    n = len(docs.columns)
+    src = docs.select("*", lang, source).toDF(*[f"c{i}" for i in range(n)], "_lang", "_source")  # names may be anything
+    counted = materialise(with_counts(src, f"c{docs.columns.index(text_col)}"), "counted")
     passed = verdict(counted, fences(counted.select("_lang", "_source", "_counts")))
-    return passed.filter("_kept").select(*docs.columns)
+    return passed.filter("_kept").select(*[f"c{i}" for i in range(n)]).toDF(*docs.columns)

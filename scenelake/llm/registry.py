@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import new_path, table
+from .common import gone_at_exit, new_path, table
 
 
 def word_bpe_path() -> str:
@@ -41,6 +41,7 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = new_path(spark, "wavelet")
     write_shards(table(spark, sf_dir, "documents"), path, word_bpe_path())
+    gone_at_exit(spark, path)
     return read_shards(spark, path)
 
 

@@ -29,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from .common import map_rows, materialise, small_batches, text_bytes
+from .common import map_rows, mark, materialise, release, small_batches, text_bytes
 from .components import components
 
 RADIUS = 2
@@ -125,10 +126,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 def roots(prints: DataFrame, id_col: str, radius: int) -> DataFrame:
     """prints(id, fp) to (fp, root, component_id), a row for each fingerprint."""
+    begun = mark()
     first = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
-    root = materialise(components(links(first.select("fp"), radius)), "roots")
+    root = components(links(first.select("fp"), radius))
     of = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     of = materialise(of, "rooted")
+    release(of.sparkSession, begun, of)
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
     return of.join(least, "root").select("fp", "root", "component_id")
 
@@ -143,22 +146,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each component, with all its columns: that of the least id.
 
-    Rows of one id in one component are repeated rows, of which one stays; of
-    a component without any id, one row stays."""
-    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    named = roots(prints, id_col, radius)
-    judged = materialise(prints.join(named, "fp").select(F.col(id_col).alias("_id"), "fp", "component_id", "root"), "judged")
-    same = F.col(id_col).eqNullSafe(F.col("_id"))
-    if judged.groupBy("_id").count().filter("count > 1").isEmpty():
-        gone = judged.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id")
-        return docs.join(gone, same, "left_anti")
-    own = judged.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id", F.col("fp").alias("_own_fp"), F.col("root").alias("_own_root")).distinct()
-    marked = with_fingerprint(docs, text_col)
-    kept = marked.join(own, same & (F.col("_fp") == F.col("_own_fp")))
-    return kept.dropDuplicates(["_id", "_own_root"]).select(*docs.columns)
+    Rows of one id in one component are repeated rows, of which the one with
+    the least text stays, of equal texts that with the least hash of all its
+    columns; of a component without any id, one row stays, chosen likewise."""
+    n = len(docs.columns)
+    src = docs.toDF(*[f"c{i}" for i in range(n)])  # names may be anything
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    begun = mark()
+    prints = materialise(fingerprints(src.select(F.col(key).alias("id"), text), "id", text), "fingerprints")
+    judged = materialise(prints.join(roots(prints, "id", radius), "fp").select("id", "fp", "component_id", "root"), "judged")
+    release(docs.sparkSession, begun, judged)
+    same = F.col(key).eqNullSafe(F.col("id"))
+    if judged.groupBy("id").count().filter("count > 1").isEmpty():
+        gone = judged.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id")
+        return src.join(gone, same, "left_anti").toDF(*docs.columns)
+    own = judged.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "fp", "root").distinct()
+    marked = with_fingerprint(src, text)
+    hashed = F.xxhash64(*[f"c{i}" for i, f in enumerate(docs.schema) if not has_map(f.dataType)])
+    first = marked.join(own, same & (marked["_fp"] == own["fp"])).groupBy("id", "root").agg(F.min_by(F.struct(*src.columns), F.struct(F.col(text), hashed)).alias("row"))
+    return first.select(*[F.col("row")[c] for c in src.columns]).toDF(*docs.columns)
+
+
+def has_map(kind: DataType) -> bool:
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and has_map(kind.elementType) or isinstance(kind, StructType) and any(has_map(f.dataType) for f in kind)
 
 
 def with_fingerprint(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with ``_fp``."""
+
     def add(batches):
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64).view(np.int64)

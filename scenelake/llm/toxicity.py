@@ -20,7 +20,13 @@ Each hit is weighed by its window: inside quotation marks or beside a word of
 reporting it counts less. A text's features are its plain, misspelled and
 quoted evidence and the densest window; logistic regression, fitted on the
 labelled rows, turns them into the score. Of the labelled rows at most
-``TRAIN_ROWS`` are used, in the order of their id's hash.
+``TRAIN_ROWS`` are used, in the order of their id's hash; all of their words
+are candidates, so the lexicon is bounded by that sample and by nothing else.
+
+Texts are read a batch at a time: the batch's different chunks are told apart,
+all of them run through the automaton at once, letter by letter (``suspects``),
+and only chunks that reach a term, or that aren't one plain Latin word, are
+looked at one by one.
 
 Defined results: a null text counts as empty and scores as a text without
 hits; without labels, or without toxic ones, the score is the share of toxic
@@ -31,22 +37,23 @@ out of the scores and kept by ``keep``.
 
 from __future__ import annotations
 
-import functools
+import collections
 import math
 import re
 import unicodedata
+import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import filter_rows, id_crc, map_rows, materialise, text_bytes
+from .common import filter_rows, held, id_crc, map_rows, mark, materialise, release, strings, text_bytes
 
 TRAIN_ROWS = 20_000
-MOST_TERMS = 5_000
-MOST_CANDIDATES = 100_000
 STEMS = (4, 5)
 DOUBT = 0.01
 
@@ -158,13 +165,33 @@ class Automaton:
                 of[node] = word
         self.weights = terms | stems
         self.room[0] = max(map(limit, terms), default=0) if first else 0
+
+        letters = sorted({c for x in self.children for c in x})
+        self.letters = ["", *letters]  # any other letter acts like the first
+        self.code = {c: i for i, c in enumerate(self.letters) if c}
         self.forget()
 
     def forget(self) -> None:
-        self.states: list[frozenset] = [self._state({(0, 0, "")})]
-        self.number = {self.states[0]: 0}
-        self.steps: list[dict[str, int]] = [{}]
+        self.states: list[frozenset] = []
+        self.number: dict[frozenset, int] = {}
+        self.table = np.full((1024, len(self.letters)), -1, np.int32)
+        self.flags = np.zeros(1024, np.uint8)
         self.entries = 0
+        self._add(self._state({(0, 0, "")}))
+
+    def _add(self, key: frozenset) -> int:
+        """The state's number. Its flags: 1 dead, 2 a term ends here, 4 a stem."""
+        if key not in self.number:
+            k = self.number[key] = len(self.states)
+            self.states.append(key)
+            self.entries += len(key) + 1
+            if k == len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+                self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
+            ended = any(not a and n in self.ends and e <= limit(self.ends[n]) for n, e, a in key)
+            begun = any(not a and e == 0 and n in self.stem for n, e, a in key)
+            self.flags[k] = (not key) + 2 * ended + 4 * begun
+        return self.number[key]
 
     def _state(self, new: set) -> frozenset:
         todo = list(new)
@@ -198,33 +225,122 @@ class Automaton:
                 new.add((child, e + 1, ""))  # another letter
                 if d != c and c in self.children[child]:
                     new.add((self.children[child][c], e + 1, d))  # two exchanged
-        key = self._state(new)
-        if key not in self.number:
-            self.number[key] = len(self.states)
-            self.states.append(key)
-            self.steps.append({})
-            self.entries += len(key) + 1
-        self.steps[state][c] = self.number[key]
-        return self.number[key]
+        return self._add(self._state(new))
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The term and its edits, the fewest first; a stem has 0."""
         if self.entries > ENTRIES:
             self.forget()
-        at, steps, stem = 0, self.steps, None
+        at, stem = 0, None
         for c in word:
-            nxt = steps[at].get(c)
-            at = self._step(at, c) if nxt is None else nxt
-            state = self.states[at]
-            if not state:
+            k = self.code.get(c, 0)
+            nxt = int(self.table[at, k])
+            if nxt < 0:
+                nxt = self._step(at, self.letters[k])
+                self.table[at, k] = nxt
+            at = nxt
+            if not self.states[at]:
                 break
-            if self.stem and stem is None:
-                stem = next((self.stem[n] for n, e, a in state if e == 0 and not a and n in self.stem), None)
+            if stem is None and self.flags[at] & 4:
+                stem = next(self.stem[n] for n, e, a in self.states[at] if e == 0 and not a and n in self.stem)
         found = min(((e, self.ends[n]) for n, e, a in self.states[at] if not a and n in self.ends and e <= limit(self.ends[n])), default=None)
         if found and (found[0] == 0 or stem is None):
             return found[1], found[0]
         return (stem, 0) if stem else None
 
+    def matched(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether ``match`` finds anything in each word codes[begin:end], all
+        words a letter at a time. codes: numbers of letters."""
+        if self.entries > ENTRIES:
+            self.forget()
+        found = np.zeros(len(begin), bool)
+        word, at = np.flatnonzero(end > begin), begin[end > begin]
+        state = np.zeros(len(word), np.int32)
+        while len(word):
+            c = codes[at]
+            nxt = self.table[state, c]
+            if (missing := nxt < 0).any():
+                for x, k in set(zip(state[missing].tolist(), c[missing].tolist())):
+                    to = self._step(x, self.letters[k])
+                    self.table[x, k] = to
+                nxt = self.table[state, c]
+            at = at + 1
+            flags = self.flags[nxt]
+            over = at == end[word]
+            found[word[(flags & 4 > 0) | over & (flags & 2 > 0)]] = True
+            going = ~over & (flags & 5 == 0)
+            word, at, state = word[going], at[going], nxt[going]
+        return found
+
+
+#: The first character after the Latin blocks; larger ones have this entry in the tables below.
+LATIN_END = 0x250
+
+#: Of Latin characters: kind (0 no letter, 1 letter or digit, 2 and 3 the same that also is a folded sign, 4 beyond), lower case, folded.
+KIND = np.full(LATIN_END + 1, 4, np.uint8)
+LOW, FOLD = np.zeros((2, LATIN_END + 1), np.int64)
+for _c in range(LATIN_END):
+    _low = chr(_c).lower()
+    if len(_low) == 1 and ord(_low) < LATIN_END:
+        KIND[_c] = chr(_c).isalnum() + 2 * (ord(_low) in SIGNS)
+        LOW[_c], FOLD[_c] = ord(_low), ord(_low.translate(SIGNS))
+
+
+class Chunks:
+    """A batch's texts, null as empty: its different chunks between ASCII
+    white space, each text's chunks among them, and where each text ends."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(strings(texts))
+        coded = lists.flatten().dictionary_encode()
+        self.values, self.which = coded.dictionary, coded.indices.to_numpy()
+        self.ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        self.chunks = bpe.byte_strings(self.values)
+
+    def rows(self) -> list[tuple[int, int]]:
+        return list(zip([0, *self.ends[:-1].tolist()], self.ends.tolist()))
+
+
+def suspects(find: Automaton, chunks: list[bytes]) -> np.ndarray:
+    """Chunks that may hold a find: all but plain Latin words, with signs or
+    none around them, whose spellings the automaton doesn't accept."""
+    if not chunks:
+        return np.zeros(0, bool)
+    points = np.frombuffer(b" ".join([*chunks, b""]).decode().encode("utf-32-le"), np.uint32)
+    points = np.minimum(points, LATIN_END)
+    kind = KIND[points]
+    gap = np.flatnonzero(points == 32)  # no chunk holds a space
+    begin, end = np.append(0, gap[:-1] + 1), gap
+    here = np.arange(len(points))
+    alnum = (kind == 1) | (kind == 3)
+    nxt = lambda x: np.minimum.accumulate(np.where(x, here, len(points))[::-1])[::-1]
+    last = lambda x: np.maximum.accumulate(np.where(x, here, -1))
+    first = np.minimum(nxt(alnum)[begin], end)
+    stop = np.maximum(np.append(last(alnum), -1)[end - 1] + 1, begin)
+    upto = lambda x: np.append(0, np.cumsum(x, dtype=np.int64))
+    of, beyond, sign = upto(alnum), upto(kind == 4), (kind == 2) | (kind == 3)
+    signs = upto(sign)
+    word = first < end
+    signed = signs[end] > signs[begin]
+    out = (beyond[end] > beyond[begin]) | np.where(word, of[stop] - of[first] < stop - first, signed) & (end > begin)
+    codes = np.zeros(LATIN_END + 1, np.int64)
+    for c, i in find.code.items():
+        if ord(c) < LATIN_END:
+            codes[ord(c)] = i
+    plain = np.flatnonzero(word & ~out & (stop - first > 2))
+    out[plain[find.matched(codes[LOW[points]], first[plain], stop[plain])]] = True
+    some = np.flatnonzero(word & ~out & signed)
+    if len(some):
+        folded, other = codes[FOLD[points]], ~sign
+        left = np.maximum(last(other)[np.maximum(first[some] - 1, 0)] + 1, begin[some])
+        left = np.where(first[some] > begin[some], left, first[some])
+        right = np.minimum(nxt(other)[stop[some]], end[some])
+        for a in (first[some], left):
+            for b in (stop[some], right):
+                long = b - a > 2
+                out[some[long][find.matched(folded, a[long], b[long])]] = True
+    return out
+
 
 class Scorer:
     """Features of a text: evidence that is plain, misspelled, quoted, the
@@ -290,16 +406,30 @@ class Scorer:
         marks = list(map(self.mark, found))
         return marks[0] if len(marks) == 1 else ([w.encode() for w in words], marks)
 
-    def features(self, text: bytes) -> list[float]:
+    def features(self, texts: pa.Array) -> list[list[float]]:
+        """Of each text of a batch."""
+        batch = Chunks(texts)
+        marks: list = [0] * len(batch.chunks)
+        hit = np.zeros(len(marks) + 1, bool)
+        for i in np.flatnonzero(suspects(self.find, batch.chunks)).tolist():
+            m = marks[i] = self.chunk(batch.chunks[i])
+            hit[i] = m > 0 if type(m) is int else any(m[1])
+        found = np.append(0, np.cumsum(hit[batch.which]))
+        out = []
+        for a, b in batch.rows():
+            out.append(self.measure(batch.chunks, marks, batch.which[a:b].tolist()) if found[b] > found[a] else [0.0] * self.N)
+        return out
+
+    def measure(self, chunks: list[bytes], marks_of: list, text: list[int]) -> list[float]:
         words, marks = [], []
-        chunks = text.split()
-        for c, m in zip(chunks, self.chunk.all(chunks)):
-            if type(m) is int:
-                words.append(c)
-                marks.append(m)
-            else:
+        for i in text:
+            m = marks_of[i]
+            if type(m) is not int:
                 words += m[0]
                 marks += m[1]
+            elif chunks[i]:
+                words.append(chunks[i])
+                marks.append(m)
         hits = [i for i, m in enumerate(marks) if m]
         plain = wrong = quoted = 0.0
         for i in hits:
@@ -327,11 +457,6 @@ def is_quoted(words: list[bytes], i: int) -> bool:
     return opened and closed or any(clean(w) in REPORTS for w in near)
 
 
-@functools.lru_cache(maxsize=2)
-def scorer(terms: tuple, stems: tuple, harmless: frozenset) -> Scorer:
-    return Scorer(terms, stems, harmless)
-
-
 def likelihood(a: int, n: int, c: int, m: int) -> float:
     """Log-likelihood ratio that a of n and c of m have different rates; 0 if a's is lower."""
     if not a or a * m <= c * n:
@@ -344,11 +469,14 @@ def likelihood(a: int, n: int, c: int, m: int) -> float:
 class Model:
     def __init__(self, terms: tuple, stems: tuple, harmless: frozenset, weights: list[float]):
         self.terms, self.stems, self.harmless, self.weights = terms, stems, harmless, weights
+        self.key = uuid.uuid4().hex
+
+    def scorer(self) -> Scorer:
+        return held(self.key, lambda: Scorer(self.terms, self.stems, self.harmless))
 
-    def scores(self, texts: list[bytes]) -> list[float]:
-        s = scorer(self.terms, self.stems, self.harmless)
+    def scores(self, texts: pa.Array) -> list[float]:
         w = self.weights
-        return [1 / (1 + math.exp(-max(-40.0, min(40.0, w[0] + sum(a * b for a, b in zip(w[1:], s.features(t))))))) for t in texts]
+        return [1 / (1 + math.exp(-max(-40.0, min(40.0, w[0] + sum(a * b for a, b in zip(w[1:], x)))))) for x in self.scorer().features(texts)]
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
@@ -359,6 +487,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    begun = mark()
     sample = materialise(sample_rows(docs, labels, rows, id_col, text_col), "labelled")
     count = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sum(n for y, n in count.items() if y == 1), sum(n for y, n in count.items() if y != 1)
@@ -381,36 +510,48 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     looked = toxic.count()
     least = math.log(max(looked, 1) / DOUBT)
     toxic = toxic.filter(F.col("n") >= max(3, least / math.log((bad + good) / bad)))
-    found = {r.word: min(r.n, bad) for r in toxic.orderBy(F.desc("n"), "word").limit(MOST_CANDIDATES).collect()}
+    found = {r.word: min(r.n, bad) for r in toxic.collect()}  # bounded by the sample's words
 
-    def held(texts: list) -> list:
-        out: list[str] = []
-        for t in texts:
-            w = set(map(clean, pieces(t)))
-            out += [x for x in w | {f"{x[:k]}*" for x in w for k in STEMS if len(x) > k} if x in found]
-        return [out]
+    def members(chunk: bytes) -> tuple[str, ...]:
+        w = list(map(clean, pieces(chunk)))
+        return tuple(x for w in set(w) for x in (w, *(f"{w[:k]}*" for k in STEMS if len(w) > k)) if x in found)
 
-    innocent = map_rows(sample.filter("toxic <> 1"), held, ["bytes"], "word string").groupBy("word").agg(F.count("*").alias("n"))
+    key = uuid.uuid4().hex
+
+    def texts_with(texts: pa.Array) -> list:
+        batch = Chunks(texts)
+        of = held(key, lambda: bpe.Memory(members, CHUNKS)).all(batch.chunks)
+        some = np.array([bool(x) for x in of], bool)
+        n: collections.Counter[str] = collections.Counter()
+        for a, b in batch.rows():
+            here = batch.which[a:b]
+            n.update({x for i in here[some[here]].tolist() for x in of[i]} if len(here) else ())
+        return [list(n), list(n.values())]
+
+    innocent = map_rows(sample.filter("toxic <> 1"), texts_with, ["bytes"], "word string, n bigint", arrow=True).groupBy("word").agg(F.sum("n").alias("n"))
     clean_docs = {r.word: r.n for r in innocent.collect()}
     test = {w: likelihood(a, bad, clean_docs.get(w, 0), good) for w, a in found.items()}
-    kept = sorted([w for w, x in test.items() if x >= least and clean_docs.get(w, 0) * bad * 20 <= found[w] * good], key=lambda w: (-test[w], w))[:MOST_TERMS]
+    kept = sorted([w for w, x in test.items() if x >= least and clean_docs.get(w, 0) * bad * 20 <= found[w] * good], key=lambda w: (-test[w], w))
     terms = tuple((w, test[w]) for w in sorted(kept) if not w.endswith("*"))
     stems = tuple((w[:-1], test[w]) for w in sorted(kept) if w.endswith("*") and not any(t.startswith(w[:-1]) and found[t] >= 0.9 * found[w] for t, _ in terms))
 
-    def near(texts: list) -> list:
-        read = scorer(terms, stems, frozenset()).read
-        chunks = {c for t in texts for c in t.split()}
-        return [list({got[0] for c in chunks for got in read(c.decode(errors="replace"))[1] if got and got[1][1]})]
+    loose = Model(terms, stems, frozenset(), [])
+
+    def near(texts: pa.Array) -> list:
+        scorer, chunks = loose.scorer(), Chunks(texts).chunks
+        return [list({got[0] for i in np.flatnonzero(suspects(scorer.find, chunks)) for got in scorer.read(chunks[i].decode())[1] if got and got[1][1]})]
 
-    harmless = frozenset(r.word for r in map_rows(sample.filter("toxic <> 1"), near, ["bytes"], "word string").distinct().orderBy("word").limit(MOST_CANDIDATES).collect())
+    harmless = frozenset(r.word for r in map_rows(sample.filter("toxic <> 1"), near, ["bytes"], "word string", arrow=True).distinct().collect())
+    model = Model(terms, stems, harmless, [])
 
-    def measure(texts: list, toxic: list) -> list:
-        got = [scorer(terms, stems, harmless).features(t) for t in texts]
-        return [got, toxic]
+    def measure(texts: pa.Array, toxic: pa.Array) -> list:
+        return [model.scorer().features(texts), toxic]
 
-    rows_ = map_rows(sample, measure, ["bytes", "toxic"], "x array<double>, y int").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").collect()
+    rows_ = map_rows(sample, measure, ["bytes", "toxic"], "x array<double>, y int", arrow=True).groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").collect()
+    release(sample.sparkSession, begun)
     x = np.array([[1.0, *r.x] for r in rows_])
-    return Model(terms, stems, harmless, regress(x, np.array([float(r.y == 1) for r in rows_]), np.array([float(r.n) for r in rows_])))
+    model.weights = regress(x, np.array([float(r.y == 1) for r in rows_]), np.array([float(r.n) for r in rows_]))
+    return model
 
 
 def regress(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 0.1) -> list[float]:
@@ -439,13 +580,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """id, held_out, score and predicted of each row."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
 
-    def run(keys: list, out: list, texts: list) -> list:
+    def run(keys: pa.Array, out: pa.Array, texts: pa.Array) -> list:
         got = model.scores(texts)
         return [keys, out, got, [int(x >= 0.5) for x in got]]
 
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("key"), (id_crc(id_col) % 5 == 0).alias("held"), text_bytes(text_col).alias("bytes"))
-    return map_rows(src, run, ["key", "held", "bytes"], f"{id_col} {kind}, held_out boolean, score double, predicted int")
+    return map_rows(src, run, ["key", "held", "bytes"], f"{id_col} {kind}, held_out boolean, score double, predicted int", arrow=True)
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

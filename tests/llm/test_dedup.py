@@ -132,11 +132,11 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = {}
     for d, t, _ in docs:
-        w = decontaminate.WORD.findall((t or "").lower())
+        w = decontaminate.words_of(t or "")
         for k, x in items:
-            item = decontaminate.WORD.findall((x or "").lower())
-            if len(item) >= 5 and (n := slow_edits(item, w)) <= int(0.2 * len(item)) or item and len(item) < 5 and item == w:
-                want[d, k] = n if len(item) >= 5 else 0
+            item = decontaminate.words_of(x or "")
+            if item and (n := slow_edits(item, w)) <= int(0.2 * len(item)):
+                want[d, k] = n
     for size in (decontaminate.BLOCK_BYTES, 700):
         got = decontaminate.contaminated(df, bench, block_bytes=size)
         rows = got.collect()
@@ -147,3 +147,26 @@ def test_decontamination(spark):
     none = spark.createDataFrame([], bench.schema)
     assert decontaminate.contaminated(df, none).count() == 0 and decontaminate.drop_contaminated(df, none).count() == len(docs)
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    df = spark.createDataFrame([(1, "He said yes, of course, twice."), (2, "天気がとてもいいですね、今日は"), (3, "off course"), (4, "yes")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "of course"), (2, "天気がとてもいいですよ"), (3, "yes")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.n_edits) for r in decontaminate.contaminated(df, items).collect()}
+    assert got == {(1, 1, 0), (2, 2, 1), (1, 3, 0), (4, 3, 0)}
+    clash = df.toDF("_bytes", "c0")
+    assert decontaminate.drop_contaminated(clash, items, text_col="c0", block_bytes=20).select("_bytes").collect() == [(3,)]
+
+
+HELPERS = ["id", "fp", "root", "row", "c0", "c1", "_id", "_fp", "_own_root", "component_id", "first"]
+
+
+def test_keep_first_with_helper_names(spark):
+    rows = [(2, "a b c", *range(len(HELPERS))), (1, "a b c", *range(10, 10 + len(HELPERS))), (7, "x y z", *range(20, 20 + len(HELPERS)))]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *HELPERS])
+    got = simhash.keep_first(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(rows[1:])
+    again = df.union(spark.createDataFrame([(1, "a b c", *range(5, 5 + len(HELPERS))), (1, "b b c", *range(len(HELPERS)))], df.schema))
+    for part in (1, 5):  # which of the repeated rows stays doesn't depend on how they lie
+        kept = sorted(map(tuple, simhash.keep_first(again.repartition(part)).collect()))
+        assert [r[:2] for r in kept] == [(1, "a b c"), (1, "b b c"), (7, "x y z")] and kept == sorted(map(tuple, simhash.keep_first(again).collect()))

@@ -5,7 +5,9 @@ import math
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scenelake.llm import html_extract, lm_score, quality, toxicity, url_filter
 from scenelake.llm.registry import URL_RULES
@@ -105,6 +107,10 @@ def test_quality(spark):
     assert all(got[i].kept for i in range(8, 308)) and not any(got[i].kept for i in [*range(8), *range(308, 316)])
     kept = quality.keep(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in got if got[i].kept)
+    names = ["_lang", "_source", "_counts", "_kept", "_failed", "_fences", "_qt", "_qw", "_qx", "c0", "_l"]
+    clash = df.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    same = quality.keep(clash)
+    assert same.columns == clash.columns and {tuple(r)[5:] for r in same.collect()} == {tuple(range(len(names)))} and same.count() == kept.count()
     bare = df.drop("lang", "source")
     assert quality.judge(bare).count() == len(texts)
     assert quality.judge(df.limit(0)).count() == quality.keep(df.limit(0)).count() == 0
@@ -186,13 +192,28 @@ def test_joined_words_are_read():
     assert cut("idiot/moron you,$cum don't “no”—yes हिन्दी -- ") == ["idiot/", "moron", "you,", "$cum", "don", "t", "“no”—", "yes", "हिन्दी", "--"]
     assert cut('said:"idiot"/"moron"') == ["said:", '"idiot"/', '"moron"']
     s = toxicity.Scorer((("idiot", 1.0), ("moron", 1.0), ("stupid", 1.0), ("asshat", 1.0), ("scum", 1.0)), (("bast", 1.0),), frozenset(["oron"]))
-    hits = lambda x: [round(math.exp(v) - 1, 3) for v in s.features(x.encode())[:3]]
+    hits = lambda x: [round(math.exp(v) - 1, 3) for v in s.features(pa.array([x]))[0][:3]]
     assert hits("idiot/moron") == hits("idiot\u00a0moron") == hits("stupid...idiot") == hits("l'idiot–moron,") == hits("idiot, moron") == [2, 0, 0]
     assert hits("you,stu.pid") == hits("a$$hat") == hits("an/a$$hat") == hits("you/$cum") == [0, 1, 0] and hits("oron/other") == hits("id\u00a0iot") == [0, 0, 0]
     assert hits("bastion/idiot") == [2, 0, 0] and hits('he,said:"idiot"') == [0, 0, 0.3]
     assert hits("\u3000".join(["some", "idiot"] * 300)) == [300, 0, 0] and hits("x" * 70 + "/idiot") == [1, 0, 0] and hits("y" * 100_000) == [0, 0, 0]
 
 
+def test_suspects_miss_no_hit():
+    s = toxicity.Scorer((("stupid", 1.0), ("asshat", 1.0), ("idiot", 1.0), ("worthless", 1.0), ("öde", 1.0)), (("bast", 1.0),), frozenset())
+    rng = random.Random(3)
+    chunks = []
+    for _ in range(20_000):
+        w = list(rng.choice(["stupid", "asshat", "idiot", "bastion", "öde", "calmly", "worthless"]))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w) + 1) : rng.randrange(len(w) + 1)] = rng.choice(["", "$", "!", "0", "é", "İ", "漢", "-", ".", '"', "T", "x", "\u0301", "²", "@", "13"])
+        chunks.append("".join(w).encode())
+    chunks = list(dict.fromkeys(c for c in chunks if c.split() == [c]))
+    got = toxicity.suspects(s.find, chunks)
+    hits = [bool(m if type(m := s._chunk(c)) is int else any(m[1])) for c in chunks]
+    assert sum(hits) > 1000 and not any(h and not g for h, g in zip(hits, got)) and sum(got) < len(got)
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("bdfgklmnprtvz") + rng.choice("aeou") for _ in range(rng.randint(1, 3)))
