@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from .common import strings
+from .common import byte_strings, strings
 
 #: Words of more symbols than this use the heap instead of the rank array,
 #: whose scans cost the square of the length.
@@ -190,14 +190,6 @@ def told_apart(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return byte_strings(coded.dictionary), coded.indices.to_numpy(), ends
 
 
-def byte_strings(values: pa.Array) -> list[bytes]:
-    """A string array's values as bytes; slices of its buffer are far cheaper
-    than a scalar object each."""
-    if not len(values):
-        return []
-    cuts = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset).tolist()
-    data = values.buffers()[2].to_pybytes() if values.buffers()[2] is not None else b""
-    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 #: The pattern of words of the files that are read (fixed value).

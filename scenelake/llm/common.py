@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +85,35 @@ def arrow_schema(schema) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def byte_strings(values: pa.Array) -> list[bytes]:
+    """A string array's values as bytes; slices of its buffer are far cheaper
+    than a scalar object each."""
+    if not len(values):
+        return []
+    cuts = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset).tolist()
+    data = values.buffers()[2].to_pybytes() if values.buffers()[2] is not None else b""
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+class Chunks:
+    """A batch's texts, null as empty: its different chunks between ASCII
+    white space, each text's chunks among them, and where each text ends."""
+
+    def __init__(self, texts: pa.Array, lower: bool = False):
+        texts = strings(texts)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+        coded = lists.flatten().dictionary_encode()
+        self.chunks, self.which = byte_strings(coded.dictionary), coded.indices.to_numpy()
+        self.ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        if b"" in self.chunks:  # before and after white space at a text's ends
+            some = self.which != self.chunks.index(b"")
+            self.ends = np.append(0, np.cumsum(some))[self.ends]
+            self.which = self.which[some]
+
+    def rows(self) -> list[tuple[int, int]]:
+        return list(zip([0, *self.ends[:-1].tolist()], self.ends.tolist())) if len(self.ends) else []
+
+
 def filter_rows(df: DataFrame, text_col: str, keep: Callable[[pa.Array], list]) -> DataFrame:
     """The rows of df for whose text (an array of bytes, null as empty)
     ``keep`` says True, with all their columns and without a shuffle."""

@@ -1,24 +1,30 @@
 """Operator 5: LM scoring by a hashed maximum-entropy model.
 
 Tokens are lower-cased (A-Z) words and one end for each text. The model is
-class-factored: P(w | h) = P(class(w) | h) P(w | class(w)).
-
-* Classes: the ``HOT`` or fewer most frequent training words (all with at
-  least a certain count) are grouped by their main language and, within it,
-  by bands of equal mass; the end is a class; rarer and unknown words fall
-  into ``TAIL`` classes by their last two bytes.
-* P(class | h) is a softmax over hashed features of the history: the word
-  before, the two skipped ones before it, and the pair before. Weights come
-  from distributed gradient updates: every training text is read once, in
-  ``ROUNDS`` rounds; in a round each task makes AdaGrad steps from the shared
-  weights on its texts, and the tasks' changes are averaged on the executors,
-  bucket by bucket, weighted by how often a task saw the bucket.
-* P(w | class) is the class's maximum-entropy distribution under word
-  features alone: relative frequency; in tail classes discounted by D =
-  n1 / (n1 + 2 n2), which leaves the class's unknown word its share.
-
-Scores are made in sparse numpy batches: a token costs a gather of its four
-buckets' weight rows and one softmax over the classes. Frequent words' counts
+class-factored: P(w | h) = P(class(w) | h) P(w | class(w), h).
+
+* Classes: the ``FREQUENT`` commonest training words make classes of ``WIDE``
+  words at most, of one main language and like frequency; the other ``HOT``
+  words (all with at least a certain count) are grouped by their main language
+  and, within it, by bands of equal mass; the end is a class; rarer and unknown
+  words fall into ``TAIL`` classes by their last two bytes.
+* Features of the history: the word before, the skipped one before it, and the
+  pair of both, hashed. P(class | h) is a softmax over them, and so is P(w |
+  class, h) in the classes of frequent words, with the features hashed together
+  with the class. Weights come from distributed gradient updates: every training
+  text is read once, in ``ROUNDS`` rounds that share the texts out; in a round
+  each task makes AdaGrad steps from the shared weights on its texts, and the
+  tasks' changes are averaged on the executors, bucket by bucket, weighted by
+  how often a task saw the bucket, in a tree of two levels. The number of
+  weights is fixed (``BUCKETS``, ``WORD_BUCKETS``); so is what a task holds.
+  More tasks make fewer steps each, so scores move a little with their number.
+* P(w | class, h) of other classes is relative frequency; in tail classes
+  discounted by D = n1 / (n1 + 2 n2), which leaves the class's unknown word its
+  share.
+
+Scores are made in sparse numpy batches: a token costs a gather of its three
+buckets' weight rows and one softmax over the classes, and the same again over
+its class's words if it is a frequent one. Hot words' counts
 go along with the code (bounded by ``HOT``); the others meet their counts in a
 join. Counts cover all training texts.
 
@@ -31,8 +37,6 @@ further columns are left out.
 
 from __future__ import annotations
 
-import collections
-import functools
 import math
 import uuid
 import zlib
@@ -44,18 +48,25 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_crc, materialise, small_batches, text_bytes
+from .common import Chunks, arrow_schema, held, id_crc, mark, materialise, release, small_batches, text_bytes
 
 HOT = 1 << 18
-LANGS, BANDS, TAIL = 6, 6, 12
+FREQUENT, WIDE = 768, 32
+LANGS, BANDS, TAIL = 6, 2, 8
 ROUNDS = 2
-STEP = 4096
 RATE = 0.35
 
-#: Buckets of each feature: word before, second and third before, pair before.
-BUCKETS = (8192, 4096, 4096, 8192)
+#: Tokens of a gradient step: a task's first steps are short, later ones longer.
+STEP, LONGEST_STEP = 2048, 16_384
+
+#: Buckets of each feature: word before, second before, pair before; and of the same with the class of a frequent word.
+BUCKETS = (8192, 4096, 8192)
+WORD_BUCKETS = (16_384, 8192, 16_384)
 BLOCK_ROWS = 512
 
+#: Tasks whose changes of a block are added together before those sums meet.
+TREE = 64
+
 #: Words counted by a task before it passes them on.
 FLUSH = 250_000
 
@@ -63,7 +74,7 @@ FLUSH = 250_000
 END = b" "
 
 #: Odd multipliers of the feature hashes, of 64 bits.
-MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def tail_class(word: bytes) -> int:
@@ -81,19 +92,25 @@ def count_tokens(train: DataFrame) -> DataFrame:
     arrow = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, collections.Counter] = {}
+        counts: list[dict[bytes, int]] = [{} for _ in range(LANGS + 1)]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, c in counts.items():
+            for lang, c in enumerate(counts):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array([lang] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], schema=arrow)
-            counts.clear()
+                c.clear()
 
         for b in batches:
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = counts.setdefault(lang, collections.Counter())
-                c.update(text.lower().split())
-                c[END] += 1
-            if sum(map(len, counts.values())) > FLUSH:
+            batch, lang = Chunks(b.column(0), lower=True), b.column(1).to_numpy()
+            of = np.repeat(lang, np.diff(np.append(0, batch.ends)))
+            for k in np.unique(lang).tolist():
+                c = counts[k]
+                c[END] = c.get(END, 0) + int((lang == k).sum())
+                n = np.bincount(batch.which[of == k], minlength=len(batch.chunks))
+                some = np.flatnonzero(n)
+                for i, x in zip(some.tolist(), n[some].tolist()):
+                    w = batch.chunks[i]
+                    c[w] = c.get(w, 0) + x
+            if sum(map(len, counts)) > FLUSH:
                 yield from flush()
         yield from flush()
 
@@ -129,10 +146,22 @@ class Tables:
         self.n, self.v, self.least = stats["N"], stats["V"], stats["least"]
         self.k = len(words)
         end = words.index(END) if END in words else -1
-        cls = np.zeros(self.k + TAIL + 1, np.int32)  # frequent words, tail classes, an end that was never seen
+        cls = np.zeros(self.k + TAIL + 1, np.int32)  # hot words, tail classes, an end that was never seen
+        self.inner = np.zeros(len(cls), np.int32)
         mass: list[float] = []
+        common = np.flatnonzero(np.arange(self.k) != end)[:FREQUENT]
+        rare = np.ones(self.k, bool)
+        rare[common] = False
         for lang in range(LANGS + 1):
-            of = np.flatnonzero(langs == lang)
+            of = common[langs[common] == lang]
+            for part in (of[k : k + WIDE] for k in range(0, len(of), WIDE)):
+                cls[part], self.inner[part] = len(mass), np.arange(len(part))
+                mass.append(float(counts[part].sum()))
+        self.wide = len(mass)
+        self.words_prior = np.full((self.wide, WIDE), -1e9, np.float32)
+        self.words_prior[cls[common], self.inner[common]] = np.log(counts[common] / np.array(mass)[cls[common]])
+        for lang in range(LANGS + 1):
+            of = np.flatnonzero((langs == lang) & rare)
             of = of[of != end]
             if len(of):
                 part = np.cumsum(counts[of], dtype=np.float64)
@@ -152,6 +181,7 @@ class Tables:
         self.prior = np.log((m + 1) / (self.n + len(m))).astype(np.float32)
         within = np.zeros(len(cls))
         within[: self.k] = np.log10(counts / m[cls[: self.k]])
+        within[common] = 0.0  # these have a softmax of their own
         if end >= 0:
             within[end] = 0.0
         self.within = within
@@ -173,118 +203,146 @@ class Ids(dict):
         return self.first + tail_class(word)
 
 
-_ids: dict[str, Ids] = {}
-
-
 def ids_of(t: Tables) -> Ids:
-    if t.key not in _ids:
-        _ids.clear()  # a worker serves one model at a time
+    def make() -> Ids:
         ids = Ids((w, i) for i, w in enumerate(t.words.split(b"\n") if t.k else []))
         ids.first = t.k
-        _ids[t.key] = ids
-    return _ids[t.key]
-
-
-def flat(t: Tables, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """All texts' numbers in one row with three begins before each; the places
-    of their tokens; each text's first place among those; their words."""
-    get = ids_of(t).__getitem__
-    words = [x.lower().split() for x in texts]
-    sizes = np.array([len(w) + 1 for w in words])
-    row = np.empty(int(sizes.sum()) + 3 * len(words), np.int64)
-    at = 0
-    places = []
-    for w in words:
-        n = len(w)
-        row[at : at + 3] = t.bos
-        row[at + 3 : at + 3 + n] = np.fromiter(map(get, w), np.int64, n)
-        row[at + 3 + n] = t.end_id
-        places.append(np.arange(at + 3, at + 4 + n))
-        at += n + 4
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(words) else np.zeros(0, np.int64)
-    return row, np.concatenate(places) if places else np.zeros(0, np.int64), starts, words
-
-
-def hashed(row: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Rows of the weights for each place: one for each feature."""
-    a, b, c = (row[places - d].astype(np.uint64) + np.uint64(1) for d in (1, 2, 3))
-    keys = (a, b, c, a * np.uint64(MIX[1]) + b)
-    out = np.empty((len(BUCKETS), len(places)), np.int64)
+        return ids
+
+    return held(t.key, make)
+
+
+def flat(t: Tables, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, Chunks]:
+    """All texts' numbers in one row with two begins before each; the places of
+    their tokens; each text's first place among those; their chunks."""
+    batch = Chunks(texts, lower=True)
+    number = np.fromiter(map(ids_of(t).__getitem__, batch.chunks), np.int64, len(batch.chunks))
+    texts_ = np.arange(len(batch.ends))
+    sizes = np.diff(np.append(0, batch.ends))
+    row = np.full(len(batch.which) + 3 * len(texts_), t.bos, np.int64)
+    of = np.repeat(texts_, sizes)
+    row[np.arange(len(of)) + 3 * of + 2] = number[batch.which]
+    row[batch.ends + 3 * texts_ + 2] = t.end_id
+    starts = np.append(0, batch.ends[:-1]) + texts_ if len(texts_) else np.zeros(0, np.int64)
+    places = np.arange(len(row) - 2 * len(texts_)) + 2 * (np.repeat(texts_, sizes + 1) + 1)
+    return row, places, starts, batch
+
+
+def hashed(row: np.ndarray, places: np.ndarray, sizes: tuple[int, ...] = BUCKETS, cls: np.ndarray | None = None) -> np.ndarray:
+    """Rows of the weights for each place: one for each feature, hashed
+    together with the class if one is given."""
+    a, b = (row[places - d].astype(np.uint64) + np.uint64(1) for d in (1, 2))
+    out = np.empty((len(sizes), len(places)), np.int32)
     first = 0
-    for i, (key, size) in enumerate(zip(keys, BUCKETS)):
+    for i, (key, size) in enumerate(zip((a, b, a * np.uint64(MIX[1]) + b), sizes)):
+        if cls is not None:
+            key = key * np.uint64(MIX[2]) + cls.astype(np.uint64)
         out[i] = first + ((key * np.uint64(MIX[i])) >> np.uint64(40)).astype(np.int64) % size
         first += size
     return out
 
 
 def softmax(prior: np.ndarray, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities of the classes at each place."""
-    x = w[rows[0]]
+    """Log probabilities at each place; prior: one row for all or one each."""
+    x = w.take(rows[0], 0)
     for r in rows[1:]:
-        x += w[r]
+        x += w.take(r, 0)
     x += prior
     x -= x.max(1, keepdims=True)
     x -= np.log(np.exp(x).sum(1, keepdims=True))
     return x
 
 
-def train_round(t: Tables, w: np.ndarray, train: DataFrame, rate: float) -> np.ndarray:
-    """One round of distributed updates; returns the new weights."""
-    out = train.sparkSession.createDataFrame([], "block int, delta binary, seen binary").schema
+class Layer:
+    """A task's own copy of one table of weights, with AdaGrad's sums."""
+
+    def __init__(self, w: np.ndarray):
+        self.first, self.w = w, w.copy()
+        self.square, self.seen = np.full(w.shape, 1e-3, np.float32), np.zeros(len(w), np.float32)
+
+    def step(self, prior: np.ndarray, rows: np.ndarray, goal: np.ndarray, rate: float) -> None:
+        g = softmax(prior, self.w, rows)
+        np.exp(g, out=g)
+        np.negative(g, out=g)
+        g[np.arange(len(goal)), goal] += 1
+        for r in rows:
+            order = np.argsort(r.astype(np.uint16), kind="stable")  # buckets are below 2^16: a radix sort
+            sorted_ = r[order]
+            first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+            bucket = sorted_[first]
+            sums = np.add.reduceat(g.take(order, 0), first, axis=0)
+            square = self.square[bucket]
+            square += sums * sums
+            self.square[bucket] = square
+            sums *= rate / np.sqrt(square)
+            self.w[bucket] += sums
+            self.seen[bucket] += np.diff(np.append(first, len(order)))
+
+    def changes(self, number: int) -> Iterator[tuple[int, bytes, bytes]]:
+        for k in range(0, len(self.w), BLOCK_ROWS):
+            n = self.seen[k : k + BLOCK_ROWS]
+            if n.any():
+                yield (k // BLOCK_ROWS * 2 + number, (self.w[k : k + BLOCK_ROWS] - self.first[k : k + BLOCK_ROWS]).astype(np.float16).tobytes(), n.tobytes())
+
+
+def parts(t: Tables, row: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens at the places, those of frequent words among them, and the
+    rows of their word weights."""
+    token = row[places]
+    some = np.flatnonzero(t.cls[token] < t.wide)
+    return token, some, hashed(row, places[some], WORD_BUCKETS, t.cls[token[some]])
+
+
+def train_round(t: Tables, w: list[np.ndarray], train: DataFrame, rate: float) -> list[np.ndarray]:
+    """One round of distributed updates of class and word weights."""
+    spark = train.sparkSession
+    out = spark.createDataFrame([], "block int, task int, delta binary, seen binary").schema
     arrow = arrow_schema(out)
-    shape = w.shape
+    batch_of = lambda rows, task: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([task] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=arrow)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, square, seen = w.copy(), np.full(shape, 1e-3, np.float32), np.zeros(shape[0], np.float32)
+        layers, step, done = [Layer(x) for x in w], STEP, 0
         for b in batches:
-            row, places, _, _ = flat(t, b.column(0).to_pylist())
-            goal = t.cls[row[places]]
-            rows = hashed(row, places)
-            for k in range(0, len(places), STEP):
-                part, y = rows[:, k : k + STEP], goal[k : k + STEP]
-                g = -np.exp(softmax(t.prior, mine, part))
-                g[np.arange(len(y)), y] += 1
-                for r in part:
-                    order = np.argsort(r, kind="stable")
-                    sorted_ = r[order]
-                    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-                    bucket = sorted_[first]
-                    sums = np.add.reduceat(g[order], first, axis=0)
-                    square[bucket] += sums * sums
-                    mine[bucket] += rate * sums / np.sqrt(square[bucket])
-                    seen[bucket] += np.diff(np.append(first, len(order)))
-        mine -= w
-        for k in range(0, shape[0], BLOCK_ROWS):
-            n = seen[k : k + BLOCK_ROWS]
-            if n.any():
-                data = (mine[k : k + BLOCK_ROWS] * n[:, None]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK_ROWS], pa.int32()), pa.array([data.tobytes()]), pa.array([n.tobytes()])], schema=arrow)
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not b.num_rows:
+                continue
+            row, places, _, _ = flat(t, b.column(0))
+            at = 0
+            while at < len(places):
+                here = places[at : at + step]
+                token, some, rows = parts(t, row, here)
+                layers[0].step(t.prior, hashed(row, here), t.cls[token], rate)
+                if len(some):
+                    layers[1].step(t.words_prior[t.cls[token[some]]], rows, t.inner[token[some]], rate)
+                at, done = at + step, done + len(here)
+                step = min(LONGEST_STEP, STEP + done // 16)
+        if done:
+            task = TaskContext.get().partitionId()
+            yield from (batch_of([x], task) for k, layer in enumerate(layers) for x in layer.changes(k))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            for block, delta, seen in zip(*(c.to_pylist() for c in b.columns)):
+            for block, delta, seen in zip(*(b.column(k).to_pylist() for k in (0, 2, 3))):
                 n = np.frombuffer(seen, np.float32).astype(np.float64)
-                d = np.frombuffer(delta, np.float32).reshape(len(n), -1).astype(np.float64)
+                d = np.frombuffer(delta, np.float16).reshape(len(n), -1) * n[:, None]
                 if block in total:
                     total[block][0] += d
                     total[block][1] += n
                 else:
                     total[block] = [d, n]
         for block, (d, n) in sorted(total.items()):
-            mean = (d / np.maximum(n, 1)[:, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mean.tobytes()]), pa.array([b""])], schema=arrow)
-
-    # as many rows come back as there are blocks of buckets
-    got = train.select("bytes").mapInArrow(learn, out).repartition("block").mapInArrow(average, out).select("block", "delta").collect()
-    new = w.copy()
-    for r in got:
-        d = np.frombuffer(r.delta, np.float32).reshape(-1, shape[1])
-        new[r.block * BLOCK_ROWS : r.block * BLOCK_ROWS + len(d)] += d
+            yield batch_of([(block, (d / np.maximum(n, 1)[:, None]).astype(np.float16).tobytes(), n.astype(np.float32).tobytes())], 0)
+
+    changes = train.select("bytes").mapInArrow(learn, out)
+    sums = changes.repartition("block", F.col("task") % TREE).mapInArrow(add, out).repartition("block").mapInArrow(add, out)
+    new = [x.copy() for x in w]
+    for r in sums.select("block", "delta").collect():  # as many rows as there are blocks of buckets
+        x, k = new[r.block % 2], r.block // 2 * BLOCK_ROWS
+        x[k : k + BLOCK_ROWS] += np.frombuffer(r.delta, np.float16).reshape(-1, x.shape[1])
     return new
 
 
-def fit(train: DataFrame, counts: DataFrame, hot: int) -> tuple[Tables, np.ndarray, dict]:
+def fit(train: DataFrame, counts: DataFrame, hot: int) -> tuple[Tables, list[np.ndarray], dict]:
     """Tables, weights and the tail's figures."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = hot_count(counts, hot)
@@ -298,7 +356,7 @@ def fit(train: DataFrame, counts: DataFrame, hot: int) -> tuple[Tables, np.ndarr
     order = sorted(range(frequent.num_rows), key=lambda i, c=frequent.column("c").to_pylist(), w=frequent.column("token").to_pylist(): (-c[i], w[i]))
     frequent = frequent.take(pa.array(order, pa.int64()))
     t = Tables(frequent.column("token").to_pylist(), frequent.column("c").to_numpy().astype(np.float64), frequent.column("lang").to_numpy(), {"N": n, "V": v, "least": least, "mass": mass})
-    w = np.zeros((sum(BUCKETS), t.classes), np.float32)
+    w = [np.zeros((sum(BUCKETS), t.classes), np.float32), np.zeros((sum(WORD_BUCKETS), WIDE), np.float32)]
     for r in range(ROUNDS):
         w = train_round(t, w, train.filter(F.pmod(F.shiftright("crc", 8), F.lit(ROUNDS)) == r), RATE / (1 + r))
     return t, w, {"mass": mass, "kinds": kinds, "discount": discount}
@@ -328,22 +386,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for b in batches:
             if not b.num_rows:
                 continue
-            row, places, starts, words = flat(t, b.column(2).to_pylist())
-            token = row[places]
-            cls = t.cls[token]
-            rows = hashed(row, places)
+            row, places, starts, batch = flat(t, b.column(2))
+            token, some, word_rows = parts(t, row, places)
+            cls, rows = t.cls[token], hashed(row, places)
             logp = np.empty(len(places))
             for k in range(0, len(places), STEP):
                 y = cls[k : k + STEP]
-                logp[k : k + STEP] = softmax(t.prior, w, rows[:, k : k + STEP])[np.arange(len(y)), y]
+                logp[k : k + STEP] = softmax(t.prior, w[0], rows[:, k : k + STEP])[np.arange(len(y)), y]
+            for k in range(0, len(some), STEP):
+                i = token[some[k : k + STEP]]
+                logp[some[k : k + STEP]] += softmax(t.words_prior[t.cls[i]], w[1], word_rows[:, k : k + STEP])[np.arange(len(i)), t.inner[i]]
             logp = logp / math.log(10) + t.within[token]
             ends = np.append(starts[1:], len(token))
             rare, times = [], []
             far = (token >= t.k) & (token < t.k + TAIL)
-            for x, s, e in zip(words, starts, ends):
-                c = collections.Counter([x[i] for i in np.flatnonzero(far[s : e - 1])])
-                rare.append(list(c))
-                times.append(list(c.values()))
+            for (x, y), s, e in zip(batch.rows(), starts, ends):
+                which, n = np.unique(batch.which[x:y][far[s : e - 1]], return_counts=True)
+                rare.append([batch.chunks[i] for i in which])
+                times.append(n)
             known = np.add.reduceat((token < t.k).astype(np.int64), starts)
             cols = np.arange(done, done + b.num_rows), b.column(0), b.column(1), ends - starts, known, np.add.reduceat(t.base[token], starts), np.add.reduceat(logp, starts), rare, times
             done += b.num_rows

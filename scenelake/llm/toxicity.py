@@ -46,12 +46,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import filter_rows, held, id_crc, map_rows, mark, materialise, release, strings, text_bytes
+from .common import Chunks, filter_rows, held, id_crc, map_rows, mark, materialise, release, text_bytes
 
 TRAIN_ROWS = 20_000
 STEMS = (4, 5)
@@ -286,21 +285,6 @@ for _c in range(LATIN_END):
         LOW[_c], FOLD[_c] = ord(_low), ord(_low.translate(SIGNS))
 
 
-class Chunks:
-    """A batch's texts, null as empty: its different chunks between ASCII
-    white space, each text's chunks among them, and where each text ends."""
-
-    def __init__(self, texts: pa.Array):
-        lists = pc.ascii_split_whitespace(strings(texts))
-        coded = lists.flatten().dictionary_encode()
-        self.values, self.which = coded.dictionary, coded.indices.to_numpy()
-        self.ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-        self.chunks = bpe.byte_strings(self.values)
-
-    def rows(self) -> list[tuple[int, int]]:
-        return list(zip([0, *self.ends[:-1].tolist()], self.ends.tolist()))
-
-
 def suspects(find: Automaton, chunks: list[bytes]) -> np.ndarray:
     """Chunks that may hold a find: all but plain Latin words, with signs or
     none around them, whose spellings the automaton doesn't accept."""
@@ -427,7 +411,7 @@ class Scorer:
             if type(m) is not int:
                 words += m[0]
                 marks += m[1]
-            elif chunks[i]:
+            else:
                 words.append(chunks[i])
                 marks.append(m)
         hits = [i for i, m in enumerate(marks) if m]

@@ -278,12 +278,41 @@ def test_model_sums_to_one(spark):
 
     words, n = [lm_score.END, b"a", b"b", b"c"], np.array([9.0, 8.0, 5.0, 2.0])
     t = lm_score.Tables(words, n, np.array([0, 0, 1, 1]), {"N": 30, "V": 9, "least": 2, "mass": [1.0] * lm_score.TAIL})
-    w = np.random.default_rng(1).normal(size=(sum(lm_score.BUCKETS), t.classes)).astype(np.float32)
-    row, places, _, _ = lm_score.flat(t, [b"a b zz c"])
-    p = np.exp(lm_score.softmax(t.prior, w, lm_score.hashed(row, places)))
+    rng = np.random.default_rng(1)
+    w = [rng.normal(size=(sum(lm_score.BUCKETS), t.classes)).astype(np.float32), rng.normal(size=(sum(lm_score.WORD_BUCKETS), lm_score.WIDE)).astype(np.float32)]
+    row, places, starts, batch = lm_score.flat(t, pa.array(["a b  zz c", None, " a"]))
+    assert [row[p - 2 : p + 1].tolist() for p in places[:2]] == [[t.bos, t.bos, 1], [t.bos, 1, 2]] and starts.tolist() == [0, 5, 6] and [batch.chunks[i] for i in batch.which] == [b"a", b"b", b"zz", b"c", b"a"]
+    assert row[places].tolist() == [1, 2, t.k + lm_score.tail_class(b"zz"), 3, 0, 0, 1, 0]
+    p = np.exp(lm_score.softmax(t.prior, w[0], lm_score.hashed(row, places)))
     assert np.allclose(p.sum(1), 1, atol=1e-5)
-    for k in set(t.cls[: t.k]):
-        assert abs(sum(10 ** t.within[i] for i in range(t.k) if t.cls[i] == k) - 1) < 1e-9
+    token, some, rows = lm_score.parts(t, row, places)
+    assert token[some].tolist() == [1, 2, 3, 1] and t.wide == 2
+    p = np.exp(lm_score.softmax(t.words_prior[t.cls[token[some]]], w[1], rows))
+    for c, x in zip(t.cls[token[some]], p):
+        assert abs(x[: (t.cls[: t.k] == c).sum()].sum() - 1) < 1e-5
+    every, narrow = lm_score.FREQUENT, None
+    try:
+        lm_score.FREQUENT = 0
+        narrow = lm_score.Tables(words, n, np.array([0, 0, 1, 1]), {"N": 30, "V": 9, "least": 2, "mass": [1.0] * lm_score.TAIL})
+    finally:
+        lm_score.FREQUENT = every
+    for k in set(narrow.cls[: narrow.k]):
+        assert abs(sum(10 ** narrow.within[i] for i in range(narrow.k) if narrow.cls[i] == k) - 1) < 1e-9
+
+
+def test_history_is_learned(spark):
+    """Words follow each other in a fixed order, which class sizes alone can't
+    tell; the score hardly depends on the number of tasks."""
+    rng = random.Random(2)
+    ring = [f"w{i}" for i in range(50)]
+    texts = [" ".join(ring[(k + i) % 50] for i in range(60)) for k in (rng.randrange(50) for _ in range(1500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    means = []
+    for tasks in (1, 8):
+        out = [r for r in lm_score.score(df.repartition(tasks)).collect() if r.held_out]
+        means.append(sum(r.score for r in out) / sum(r.n_tokens for r in out))
+        assert means[-1] > sum(r.base_score for r in out) / sum(r.n_tokens for r in out) + 0.9
+    assert abs(means[0] - means[1]) < 0.3
 
 
 def test_pipeline(spark, tmp_path):
