@@ -64,8 +64,8 @@ BUCKETS = (8192, 4096, 8192)
 WORD_BUCKETS = (16_384, 8192, 16_384)
 BLOCK_ROWS = 512
 
-#: Tasks whose changes of a block are added together before those sums meet.
-TREE = 64
+#: Rows of one bucket in a step that are summed one after another.
+LONG_RUN = 8
 
 #: Words counted by a task before it passes them on.
 FLUSH = 250_000
@@ -242,15 +242,43 @@ def hashed(row: np.ndarray, places: np.ndarray, sizes: tuple[int, ...] = BUCKETS
     return out
 
 
-def softmax(prior: np.ndarray, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities at each place; prior: one row for all or one each."""
+def odds(prior: np.ndarray, w: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unnormalised probabilities at each place and their sums; prior: one row
+    for all or one each. Logits beyond +-60 count as that, so no exponential
+    overflows and no sum is zero."""
     x = w.take(rows[0], 0)
     for r in rows[1:]:
         x += w.take(r, 0)
     x += prior
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+    np.clip(x, -60, 60, out=x)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], np.float32)
+
+
+def log_odds(prior: np.ndarray, w: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Log probability of each place's goal."""
+    x, total = odds(prior, w, rows)
+    return np.log(x[np.arange(len(goal)), goal]) - np.log(total)
+
+
+def run_sums(g: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of g's rows over runs of ``order`` that begin at ``first``: short
+    runs row by row together, long ones by a product each."""
+    count = np.diff(np.append(first, len(order)))
+    out = np.empty((len(first), g.shape[1]), np.float32)
+    short = np.flatnonzero(count <= LONG_RUN)
+    at, n = first[short], count[short]
+    sums = g.take(order[at], 0)
+    for k in range(1, LONG_RUN):
+        more = np.flatnonzero(n > k)
+        if not len(more):
+            break
+        sums[more] += g.take(order[at[more] + k], 0)
+    out[short] = sums
+    for i in np.flatnonzero(count > LONG_RUN).tolist():
+        a = first[i]
+        out[i] = np.ones(count[i], np.float32) @ g.take(order[a : a + count[i]], 0)
+    return out
 
 
 class Layer:
@@ -261,16 +289,15 @@ class Layer:
         self.square, self.seen = np.full(w.shape, 1e-3, np.float32), np.zeros(len(w), np.float32)
 
     def step(self, prior: np.ndarray, rows: np.ndarray, goal: np.ndarray, rate: float) -> None:
-        g = softmax(prior, self.w, rows)
-        np.exp(g, out=g)
-        np.negative(g, out=g)
+        g, total = odds(prior, self.w, rows)
+        g *= (-1 / total)[:, None]
         g[np.arange(len(goal)), goal] += 1
         for r in rows:
             order = np.argsort(r.astype(np.uint16), kind="stable")  # buckets are below 2^16: a radix sort
             sorted_ = r[order]
             first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
             bucket = sorted_[first]
-            sums = np.add.reduceat(g.take(order, 0), first, axis=0)
+            sums = run_sums(g, order, first)
             square = self.square[bucket]
             square += sums * sums
             self.square[bucket] = square
@@ -278,11 +305,22 @@ class Layer:
             self.w[bucket] += sums
             self.seen[bucket] += np.diff(np.append(first, len(order)))
 
-    def changes(self, number: int) -> Iterator[tuple[int, bytes, bytes]]:
+    def changes(self, number: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """Of each block: the buckets that were seen, their changes and how
+        often they were seen."""
         for k in range(0, len(self.w), BLOCK_ROWS):
-            n = self.seen[k : k + BLOCK_ROWS]
-            if n.any():
-                yield (k // BLOCK_ROWS * 2 + number, (self.w[k : k + BLOCK_ROWS] - self.first[k : k + BLOCK_ROWS]).astype(np.float16).tobytes(), n.tobytes())
+            at = np.flatnonzero(self.seen[k : k + BLOCK_ROWS])
+            if len(at):
+                yield packed(k // BLOCK_ROWS * 2 + number, at, self.w[k + at] - self.first[k + at], self.seen[k + at])
+
+
+def packed(block: int, at: np.ndarray, delta: np.ndarray, seen: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
+    return block, at.astype(np.uint16).tobytes(), delta.astype(np.float16).tobytes(), seen.astype(np.float32).tobytes()
+
+
+def unpacked(at: bytes, delta: bytes, seen: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = np.frombuffer(seen, np.float32).astype(np.float64)
+    return np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(delta, np.float16).reshape(len(n), -1), n
 
 
 def parts(t: Tables, row: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,9 +334,11 @@ def parts(t: Tables, row: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, n
 def train_round(t: Tables, w: list[np.ndarray], train: DataFrame, rate: float) -> list[np.ndarray]:
     """One round of distributed updates of class and word weights."""
     spark = train.sparkSession
-    out = spark.createDataFrame([], "block int, task int, delta binary, seen binary").schema
+    out = spark.createDataFrame([], "block int, task int, at binary, delta binary, seen binary").schema
     arrow = arrow_schema(out)
-    batch_of = lambda rows, task: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([task] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=arrow)
+
+    def row_of(x: tuple[int, bytes, bytes, bytes], task: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((x[0], task, *x[1:]), arrow)], schema=arrow)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layers, step, done = [Layer(x) for x in w], STEP, 0
@@ -317,28 +357,28 @@ def train_round(t: Tables, w: list[np.ndarray], train: DataFrame, rate: float) -
                 step = min(LONGEST_STEP, STEP + done // 16)
         if done:
             task = TaskContext.get().partitionId()
-            yield from (batch_of([x], task) for k, layer in enumerate(layers) for x in layer.changes(k))
+            yield from (row_of(x, task) for k, layer in enumerate(layers) for x in layer.changes(k))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            for block, delta, seen in zip(*(b.column(k).to_pylist() for k in (0, 2, 3))):
-                n = np.frombuffer(seen, np.float32).astype(np.float64)
-                d = np.frombuffer(delta, np.float16).reshape(len(n), -1) * n[:, None]
-                if block in total:
-                    total[block][0] += d
-                    total[block][1] += n
-                else:
-                    total[block] = [d, n]
+            for block, *x in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                at, d, n = unpacked(*x)
+                if block not in total:
+                    total[block] = [np.zeros((BLOCK_ROWS, d.shape[1])), np.zeros(BLOCK_ROWS)]
+                total[block][0][at] += d * n[:, None]
+                total[block][1][at] += n
         for block, (d, n) in sorted(total.items()):
-            yield batch_of([(block, (d / np.maximum(n, 1)[:, None]).astype(np.float16).tobytes(), n.astype(np.float32).tobytes())], 0)
+            at = np.flatnonzero(n)
+            yield row_of(packed(block, at, d[at] / n[at, None], n[at]), 0)
 
     changes = train.select("bytes").mapInArrow(learn, out)
-    sums = changes.repartition("block", F.col("task") % TREE).mapInArrow(add, out).repartition("block").mapInArrow(add, out)
+    branches = max(1, math.isqrt(train.rdd.getNumPartitions()))
+    sums = changes.repartition("block", F.col("task") % branches).mapInArrow(add, out).repartition("block").mapInArrow(add, out)
     new = [x.copy() for x in w]
-    for r in sums.select("block", "delta").collect():  # as many rows as there are blocks of buckets
-        x, k = new[r.block % 2], r.block // 2 * BLOCK_ROWS
-        x[k : k + BLOCK_ROWS] += np.frombuffer(r.delta, np.float16).reshape(-1, x.shape[1])
+    for r in sums.collect():  # as many rows as there are blocks of buckets
+        at, d, _ = unpacked(r.at, r.delta, r.seen)
+        new[r.block % 2][r.block // 2 * BLOCK_ROWS + at] += d
     return new
 
 
@@ -391,11 +431,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             cls, rows = t.cls[token], hashed(row, places)
             logp = np.empty(len(places))
             for k in range(0, len(places), STEP):
-                y = cls[k : k + STEP]
-                logp[k : k + STEP] = softmax(t.prior, w[0], rows[:, k : k + STEP])[np.arange(len(y)), y]
+                logp[k : k + STEP] = log_odds(t.prior, w[0], rows[:, k : k + STEP], cls[k : k + STEP])
             for k in range(0, len(some), STEP):
                 i = token[some[k : k + STEP]]
-                logp[some[k : k + STEP]] += softmax(t.words_prior[t.cls[i]], w[1], word_rows[:, k : k + STEP])[np.arange(len(i)), t.inner[i]]
+                logp[some[k : k + STEP]] += log_odds(t.words_prior[t.cls[i]], w[1], word_rows[:, k : k + STEP], t.inner[i])
             logp = logp / math.log(10) + t.within[token]
             ends = np.append(starts[1:], len(token))
             rare, times = [], []

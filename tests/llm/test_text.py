@@ -283,13 +283,21 @@ def test_model_sums_to_one(spark):
     row, places, starts, batch = lm_score.flat(t, pa.array(["a b  zz c", None, " a"]))
     assert [row[p - 2 : p + 1].tolist() for p in places[:2]] == [[t.bos, t.bos, 1], [t.bos, 1, 2]] and starts.tolist() == [0, 5, 6] and [batch.chunks[i] for i in batch.which] == [b"a", b"b", b"zz", b"c", b"a"]
     assert row[places].tolist() == [1, 2, t.k + lm_score.tail_class(b"zz"), 3, 0, 0, 1, 0]
-    p = np.exp(lm_score.softmax(t.prior, w[0], lm_score.hashed(row, places)))
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
+    rows = lm_score.hashed(row, places)
+    p = sum(np.exp(lm_score.log_odds(t.prior, w[0], rows, np.full(len(places), k))) for k in range(t.classes))
+    assert np.allclose(p, 1, atol=1e-5)
     token, some, rows = lm_score.parts(t, row, places)
     assert token[some].tolist() == [1, 2, 3, 1] and t.wide == 2
-    p = np.exp(lm_score.softmax(t.words_prior[t.cls[token[some]]], w[1], rows))
-    for c, x in zip(t.cls[token[some]], p):
-        assert abs(x[: (t.cls[: t.k] == c).sum()].sum() - 1) < 1e-5
+    for k, c in enumerate(t.cls[token[some]]):
+        p = [np.exp(lm_score.log_odds(t.words_prior[[c]], w[1], rows[:, [k]], np.array([j])))[0] for j in range((t.cls[: t.k] == c).sum())]
+        assert abs(sum(p) - 1) < 1e-5
+    order = rng.integers(0, 9, 5000)
+    order_ = np.argsort(order, kind="stable")
+    g = rng.normal(size=(5000, 7)).astype(np.float32)
+    first = np.flatnonzero(np.append(True, np.diff(order[order_]) > 0))
+    for cut in (order_, order_[:20]):
+        at = first[first < len(cut)]
+        assert np.allclose(lm_score.run_sums(g, cut, at), np.add.reduceat(g[cut], at, axis=0), atol=1e-3)
     every, narrow = lm_score.FREQUENT, None
     try:
         lm_score.FREQUENT = 0
