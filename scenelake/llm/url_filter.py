@@ -5,8 +5,10 @@ URL's path starts with the rule's; the longest wins. Every other URL is judged
 by boosted trees over lexical features: lengths, depth, digit ratio, entropy,
 parameter count, hyphens and the block rate of its suffix.
 
-The trees are fitted to labelled URLs, of which at most ``TRAIN_ROWS`` are
-taken, in the order of their hash. Each level of a tree is one aggregate over
+The trees are fitted to labelled URLs: any table (url, label), or pages whose
+URL ends in the number of a labelled document (``from_documents``: 1 for
+quality 0). At most ``TRAIN_ROWS`` different ones are taken, in the order of
+their hash; every suffix among them has its rate. Each level of a tree is one aggregate over
 the sample (gradient and curvature for each node, feature and bin); trees
 become CASE expressions, so scoring is a projection.
 
@@ -24,15 +26,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, materialise
+from .common import bind, mark, materialise, release
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, L2 = 10, 2, 0.4, 16, 1.0
 
-#: Words that label a URL as unwanted where its host holds one: the seeds from
-#: which the trees are trained. Fixed values.
-SEEDS = ("casino", "bet", "bets", "poker", "pills", "viagra", "pharma", "adult", "porn", "xxx", "sex", "spam", "ads", "track", "tracker", "click", "farm", "cheap", "free", "win", "loan", "crypto")
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,11 +84,13 @@ def suffix(host: Column) -> Column:
     return F.regexp_extract(host, r"([^.]*)$", 1)
 
 
-def seeded(df: DataFrame, url: str = "url") -> DataFrame:
-    """Weakly labelled URLs: (url, label), 1 where a word of the host is a seed."""
-    host, _ = parts(url)
-    words = F.split(host, r"[^a-z0-9]+")
-    return df.select(F.col(url).alias("url"), F.arrays_overlap(words, F.array(*map(F.lit, SEEDS))).cast("int").alias("label"))
+def from_documents(pages: DataFrame, labels: DataFrame, url: str = "url") -> DataFrame:
+    """(url, label) of the pages whose path ends in the number of a labelled
+    document; 1 where its quality is 0 (by any of its labels)."""
+    _, path = parts(url)
+    found = pages.select(F.col(url).alias("url"), F.regexp_extract(path, r"([0-9]{1,18})/?$", 1).try_cast("bigint").alias("doc"))
+    named = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("doc")).agg((1 - F.min("quality")).cast("int").alias("label"))
+    return found.join(named, "doc").select("url", "label")
 
 
 class Trees:
@@ -106,16 +106,18 @@ class Trees:
 
         return sum((of(t) for t in self.trees), F.lit(self.bias))
 
-    def suffix_rate(self, host: Column) -> Column:
-        out = F.lit(self.prior)
-        for name, rate in self.rates.items():
-            out = F.when(suffix(host) == name, rate).otherwise(out)
-        return out
+    def with_suffix_rate(self, df: DataFrame, host: Column) -> DataFrame:
+        """df with ``suffix_rate``, by a join with the rates (a row for each
+        suffix of the sample, so at most ``TRAIN_ROWS``)."""
+        rates = df.sparkSession.createDataFrame(sorted(self.rates.items()), "_suffix string, _rate double")
+        out = df.join(F.broadcast(rates), suffix(host) == F.col("_suffix"), "left")
+        return out.withColumn("suffix_rate", F.coalesce("_rate", F.lit(self.prior))).drop("_suffix", "_rate")
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Trees | None:
     """Trees for labelled(url, label); None without labelled URLs."""
-    sample = labelled.filter("url is not null and label in (0, 1)").distinct().orderBy(F.xxhash64("url"), "url", "label").limit(rows)
+    begun = mark()
+    sample = first_by_hash(labelled.select("url", "label").filter("url is not null and label in (0, 1)"), rows)
     host, path = parts("url")
     named = features(F.col("url"), host, path)
     sample = materialise(sample.select(suffix(host).alias("suffix"), *[c.alias(k) for k, c in named.items()], F.col("label").cast("double").alias("label")), "urls")
@@ -123,23 +125,37 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Trees | None:
     if not total:
         return None
     prior = (ones + 1) / (total + 2)
-    # the commonest suffixes; others take the prior
-    seen = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("y")).orderBy(F.desc("n"), "suffix").limit(50).collect()
+    seen = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("y")).collect()  # at most ``rows``
     model = Trees(math.log(prior / (1 - prior)), [], {r.suffix: (r.y + 20 * prior) / (r.n + 20) for r in seen}, prior)
     names = [*named, "suffix_rate"]
-    rate = F.lit(prior)
-    for name, x in model.rates.items():
-        rate = F.when(F.col("suffix") == name, x).otherwise(rate)
-    sample = sample.withColumn("suffix_rate", rate)
+    sample = model.with_suffix_rate(sample.withColumnRenamed("suffix", "host"), F.col("host"))
     cuts = dict(zip(names, sample.approxQuantile(names, [i / BINS for i in range(BINS)], 0.001)))
     cuts = {k: sorted(set(v)) for k, v in cuts.items()}
     bins = F.array(*[F.struct(F.lit(k).alias("f"), sum((F.when(F.col(k) > c, 1).otherwise(0) for c in v), F.lit(0)).alias("b")) for k, v in cuts.items()])
+    sample = materialise(sample.select(*names, "label", bins.alias("bins")).coalesce(4), "bins")
+    bins = F.col("bins")
     for _ in range(TREES):
         p = 1 / (1 + F.exp(-model.column()))
         model.trees.append(grow(sample.withColumn("g", F.col("label") - p).withColumn("h", p * (1 - p)), bins, cuts))
+    release(labelled.sparkSession, begun)
     return model
 
 
+def first_by_hash(labelled: DataFrame, rows: int) -> DataFrame:
+    """The different rows with the least hashes. Those with a hash below a
+    bound that should leave four times as many are told apart first, so not
+    every URL is shuffled; if they are too few, all are."""
+    span = 1 << 31
+    place = F.pmod(F.xxhash64("url"), F.lit(span))
+    order = [place, F.col("url"), F.col("label")]
+    n = labelled.count()
+    if n > 4 * rows:
+        some = labelled.filter(place < span * 4 * rows // n).distinct().orderBy(*order).limit(rows)
+        if some.count() == rows:
+            return some
+    return labelled.distinct().orderBy(*order).limit(rows)
+
+
 def grow(rows: DataFrame, bins: Column, cuts: dict[str, list[float]]):
     """One tree by levels: nodes are numbered from 1, children 2i and 2i + 1."""
     splits: dict[int, tuple[str, float]] = {}
@@ -194,8 +210,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], labelled: DataFram
     if model is None:
         df = df.withColumn("score", F.lit(0.0))
     else:
-        named = features(F.col("_url"), F.col("host"), F.col("path")) | {"suffix_rate": model.suffix_rate(F.col("host"))}
-        df = df.withColumns(named).withColumn("score", 1 / (1 + F.exp(-model.column())))
+        df = model.with_suffix_rate(df.withColumns(features(F.col("_url"), F.col("host"), F.col("path"))), F.col("host"))
+        df = df.withColumn("score", 1 / (1 + F.exp(-model.column())))
     rule, said = rule_match(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return df.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(said, method).alias("verdict"), "score")

@@ -72,6 +72,18 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0), URL_RULES, seeds).count() == 0
 
 
+def test_labels_from_documents(spark):
+    pages = spark.createDataFrame([("http://a.com/en/1?x=2",), ("http://a.com/2/",), ("http://a.com/x3#9",), ("http://a.com/en",), (None,), ("http://a.com/99999999999999999999",), ("http://a.com/en/1?x=2",)], "url string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (None, 0), (3, None)], "doc_id bigint, quality int")
+    got = url_filter.from_documents(pages, labels).collect()
+    assert sorted(map(tuple, got)) == [("http://a.com/2/", 0), ("http://a.com/en/1?x=2", 1), ("http://a.com/en/1?x=2", 1)]
+    rows = spark.createDataFrame([(f"u{i % 700}", i % 2) for i in range(5000)], "url string, label int")
+    whole = rows.distinct().orderBy(F.pmod(F.xxhash64("url"), F.lit(1 << 31)), "url", "label").limit(100).collect()
+    assert url_filter.first_by_hash(rows, 100).collect() == whole
+    same = spark.createDataFrame([("u", 1)] * 900 + [("v", 0)], "url string, label int")  # one URL has nearly all rows
+    assert sorted(map(tuple, url_filter.first_by_hash(same, 100).collect())) == [("u", 1), ("v", 0)]
+
+
 def test_url_trees_learn(spark):
     rng = random.Random(1)
     rows = [(f"http://{'x' * rng.randint(3, 9)}{'-buy' if (bad := rng.random() < 0.3) else ''}.com/{i}", int(bad)) for i in range(600)]
