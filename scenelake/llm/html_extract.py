@@ -5,10 +5,13 @@ tags. For each path, two ratios are aggregated: text length for each node and
 punctuation for each node. Along the page each node takes its path's ratios;
 both are smoothed with a Gaussian window, fused by their geometric mean, and
 paths whose mean fused score reaches ``LEVEL`` of the page's deviation are
-content. The content nodes' common container is the article (the deepest
-article or main element that holds all of them, else the lowest element that
-does); what else stands in that container belongs to it (short paragraphs, headings, lists), so no
-part is lost for being short.
+content. The content nodes' common container (the deepest article or main
+element that holds all of them, else the lowest element that does) recovers
+what is short: if it is part of an article or main element, or at least
+``WHOLE`` of its blocks are content, all of it belongs to the page's article. In a
+wider container, such as a whole body, only what stands between two content
+nodes and the headings right before the first one are recovered; the rest,
+such as plain lists of links before and after the article, is left out.
 
 Never content, whatever its ratios: scripts, styles, forms, navigation,
 footers, asides, a page's header, hidden parts (also what browsers show only
@@ -41,6 +44,7 @@ from .common import map_rows
 
 LEVEL = 0.5
 SIGMA = 1.0
+WHOLE = 0.5
 
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -328,7 +332,18 @@ def extract(page: str | None) -> str:
         known.update(dict.fromkeys(path, found))
         return found
 
-    return "\n\n".join([text for e, text in blocks if inside(e)])
+    return "\n\n".join([text for _, text in recovered([x for x in blocks if inside(x[0])], paths, top)])
+
+
+def recovered(blocks: list[tuple[Element, str]], paths: set[int], top: Element) -> list[tuple[Element, str]]:
+    """Of the container's blocks those that are content or belong to it."""
+    chosen = [e.path in paths for e, _ in blocks]
+    if top.article or sum(chosen) >= WHOLE * len(blocks):
+        return blocks
+    first, last = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
+    while first and blocks[first - 1][0].tag in HEADINGS:
+        first -= 1
+    return blocks[first : last + 1]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

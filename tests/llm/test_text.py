@@ -34,6 +34,42 @@ def test_html(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def slow_content_paths(blocks):
+    """The same ratios by plain sums over all pairs of blocks."""
+    n = len(blocks)
+    of = [e.path for e, _ in blocks]
+    here = [[t for e, t in blocks if e.path == p] for p in of]
+    length = [sum(map(len, x)) / len(x) for x in here]
+    marks = [(sum(sum(c in ".,;:!?…、。，！？；：¡¿،؟" for c in t) for t in x) + 1) / len(x) for x in here]
+    w = [[math.exp(-((i - j) ** 2) / (2 * html_extract.SIGMA**2)) if abs(i - j) <= 3 * html_extract.SIGMA else 0 for j in range(n)] for i in range(n)]
+    even = lambda v: [sum(a * b for a, b in zip(w[i], v)) / sum(w[i]) for i in range(n)]
+    fused = [math.sqrt(a * b) for a, b in zip(even(length), even(marks))]
+    mean = sum(fused) / n
+    level = min(html_extract.LEVEL * math.sqrt(sum((x - mean) ** 2 for x in fused) / n) if n > 1 else 0, max(fused))
+    return {p for p in of if sum(x for x, q in zip(fused, of) if q == p) / of.count(p) >= level - 1e-12}
+
+
+def plain_page(rng, paragraphs):
+    """A page without article, main or telling names."""
+    word = lambda: "".join(rng.choice("abdeginorst") for _ in range(rng.randint(2, 8)))
+    links = lambda k: "".join(f"<li><a href=/{i}>{word()}</a></li>" for i in range(k))
+    text = [", ".join(word() for _ in range(rng.randint(25, 60))) + "." for _ in range(paragraphs)]
+    body = f"<div><ul>{links(12)}</ul></div><h1>{(title := word())}</h1>" + "".join(f"<p>{t}</p>" for t in text) + f"<table><tr>{''.join(f'<td>{word()}</td>' for _ in range(9))}</tr></table><div><ul>{links(9)}</ul></div>"
+    return f"<html><body>{body}</body></html>", "\n\n".join([title, *text])
+
+
+def test_ratios_choose_the_text(monkeypatch):
+    rng = random.Random(4)
+    pages = [plain_page(rng, rng.randint(3, 9)) for _ in range(60)]
+    got = [html_extract.extract(p) for p, _ in pages]
+    assert sum(g == want for g, (_, want) in zip(got, pages)) >= 55
+    for page, _ in [*pages, (PAGE, ""), ("a", ""), ("<p>a, b</p><div>c</div>", "")]:
+        blocks = html_extract.blocks_of(page)
+        assert html_extract.content_paths(blocks) == slow_content_paths(blocks)
+    monkeypatch.setattr(html_extract, "content_paths", lambda blocks: {e.path for e, _ in blocks})
+    assert all(html_extract.extract(p) != g for (p, _), g in zip(pages, got))
+
+
 def test_html_split_article():
     text = lambda k, n: "".join(f"<p>Part {k}, sentence {i}, and more of it.</p>" for i in range(n))
     for a, b in ((6, 4), (5, 5), (9, 1)):
