@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import cell, offsets, voxel_keys
+
 
 def iou_matrix(dets: DataFrame, insts: DataFrame) -> DataFrame:
     """dets(frame, det, point) and insts(inst, point) to (frame, det, inst,
@@ -69,20 +71,26 @@ def structural_merge(insts: DataFrame, labels: list[str], dz: float, least_root:
 
 def share_label_pairs(labels: DataFrame, places: DataFrame, least_points: int, reach: float) -> DataFrame:
     """Pairs i < j that share a label, each with enough points, near one
-    another: labels(instance_id, label), places(instance_id, x, y, z, n)."""
+    another, met by label and neighbouring cells of the reach: labels(instance_id, label), places(instance_id, x, y, z, n)."""
     mine = labels.join(places.filter(F.col("n") >= least_points), "instance_id")
-    a = mine.select(F.col("instance_id").alias("i"), "label", *[F.col(c).alias(f"a{c}") for c in "xyz"])
-    b = mine.select(F.col("instance_id").alias("j"), "label", *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    keys = [cell(c, reach).alias(f"k{c}") for c in "xyz"]
+    a = mine.select(F.col("instance_id").alias("i"), "label", *[F.col(c).alias(f"a{c}") for c in "xyz"], *keys, F.explode(offsets(1, 3)).alias("o"))
+    a = a.select("i", "label", "ax", "ay", "az", *[(F.col(f"k{c}") + F.col("o")[f"d{n}"]).alias(f"k{c}") for n, c in enumerate("xyz")])
+    b = mine.select(F.col("instance_id").alias("j"), "label", *[F.col(c).alias(f"b{c}") for c in "xyz"], *keys)
     d2 = sum(((F.col(f"a{c}") - F.col(f"b{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    return a.join(b, "label").filter((F.col("i") < F.col("j")) & (d2 <= reach * reach)).select("i", "j").distinct()
+    return a.join(b, ["label", "kx", "ky", "kz"]).filter((F.col("i") < F.col("j")) & (d2 <= reach * reach)).select("i", "j").distinct()
 
 
-def greedy_fill(boxes: DataFrame, points: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+def greedy_fill(boxes: DataFrame, points: DataFrame, claimed: DataFrame | None = None, size: float = 2.0) -> DataFrame:
     """Each unclaimed point goes to the smallest instance whose box holds it:
     boxes(instance_id, n, lx, hx, ly, hy, lz, hz), points(point_idx, x, y, z).
-    Boxes depend on their own points only, so the order of claims is a rank."""
+    Boxes depend on their own points only, so the order of claims is a rank;
+    they are spread over the cells of ``size`` that they meet."""
     free = points if claimed is None else points.join(claimed.select("point_idx").distinct(), "point_idx", "left_anti")
     inside = [F.col(a).between(F.col(f"l{a}"), F.col(f"h{a}")) for a in "xyz"]
-    met = free.join(boxes, inside[0] & inside[1] & inside[2])
+    spread = boxes
+    for a in "xyz":
+        spread = spread.withColumn(f"v{a}", F.explode(F.sequence(cell(f"l{a}", size), cell(f"h{a}", size))))
+    met = voxel_keys(free, size).join(spread, ["vx", "vy", "vz"]).filter(inside[0] & inside[1] & inside[2])
     w = Window.partitionBy("point_idx").orderBy("n", "instance_id")
     return met.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("point_idx", "instance_id")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenelake.sources.tables import materialise
+
 
 def cell(value: Column | str, size: float) -> Column:
     """Floor key of a coordinate."""
@@ -96,30 +99,33 @@ def knn(points: DataFrame, k: int, radius: float, id_col: str = "point_idx") ->
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumnRenamed(f"{id_col}_2", "neighbour")
 
 
-def knn_exact(points: DataFrame, k: int, radius: float, id_col: str = "point_idx", rounds: int = 12) -> DataFrame:
-    """The k nearest other points of every point. The radius doubles for the
-    points that lack neighbours, so only the sparse ones visit more cells."""
-    spark = points.sparkSession
-    total = points.count()
-    want = min(k, max(total - 1, 0))
-    done, todo = None, points
-    for _ in range(rounds):
-        pairs = radius_pairs(todo, points, radius, id_col, id_col).filter(F.col(id_col) != F.col(f"{id_col}_2"))
-        w = Window.partitionBy(id_col).orderBy("d2", f"{id_col}_2")
-        near = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        full = near.groupBy(id_col).agg(F.count("*").alias("_n")).filter(F.col("_n") >= want).select(id_col)
-        part = near.join(full, id_col, "left_semi").withColumnRenamed(f"{id_col}_2", "neighbour")
-        done = part if done is None else done.unionByName(part)
-        todo = todo.join(full, id_col, "left_anti")
-        if want == 0 or todo.isEmpty():
-            return done
+def knn_exact(points: DataFrame, k: int, radius: float, id_col: str = "point_idx", axes: str = "xyz") -> DataFrame:
+    """The k nearest other points of every point: (id, neighbour, d2, rank)."""
+    return nearest_exact(points, points, k, radius, id_col, id_col, axes).withColumnRenamed(f"{id_col}_2", "neighbour")
+
+
+def nearest_exact(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: str, right_id: str, axes: str = "xyz") -> DataFrame:
+    """The k nearest of right to every row of left, itself left out where the
+    ids are of one column: (left_id, right_id, d2, rank). The radius doubles
+    for the rows that lack neighbours, so only the sparse ones visit larger
+    cells; each round is written out, and the last one's cells hold everything."""
+    same = left_id == right_id
+    other = f"{right_id}_2" if same else right_id
+    total = right.count()
+    want = min(k, total - 1 if same else total)
+    done, todo = [], left
+    while True:
+        pairs = radius_pairs(todo, right, radius, left_id, right_id, axes)
+        pairs = pairs.filter(F.col(left_id) != F.col(other)) if same else pairs
+        w = Window.partitionBy(left_id).orderBy("d2", other)
+        near = materialise(pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(left_id, other, "d2", "rank"), "near")
+        full = near.filter(F.col("rank") >= want).select(left_id).distinct()
+        done.append(near.join(full, left_id, "left_semi"))
+        todo = todo.join(full, left_id, "left_anti")
+        if want <= 0 or todo.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
+        todo = materialise(todo, "sparse")
         radius *= 2
-    left = todo.select(F.col(id_col), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"))
-    far = left.join(points.select(F.col(id_col).alias("neighbour"), "x", "y", "z"), F.col(id_col) != F.col("neighbour"))
-    far = far.withColumn("d2", (F.col("_x") - F.col("x")) ** 2 + (F.col("_y") - F.col("y")) ** 2 + (F.col("_z") - F.col("z")) ** 2)
-    w = Window.partitionBy(id_col).orderBy("d2", "neighbour")
-    far = far.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(id_col, "neighbour", "d2", "rank")
-    return done.select(id_col, "neighbour", "d2", "rank").unionByName(far) if done is not None else spark.createDataFrame([], far.schema)
 
 
 def statistical_outliers(points: DataFrame, k: int, ratio: float, radius: float, id_col: str = "point_idx") -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as geo
 
+from .ordering import running_sums
+
 
 def corners(boxes: DataFrame) -> DataFrame:
     return boxes.select("frame", "box_id", "score", *[c.alias(n) for c, n in zip(geo.to_corners(), ("x1", "y1", "x2", "y2"))])
@@ -51,9 +53,11 @@ def run_lengths(pixels: DataFrame, keys: list[str], order: str, value: str) -> D
     return r.groupBy(*keys, "run").agg(F.first(value).alias(value), F.min(order).alias("start"), F.count("*").alias("n"))
 
 
-def mask_box(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Box and area of each mask's pixels; an absent mask has no row."""
-    return pixels.groupBy(*keys).agg(F.min("u").alias("u0"), F.min("v").alias("v0"), F.max("u").alias("u1"), F.max("v").alias("v1"), F.count("*").alias("area"))
+def mask_box(pixels: DataFrame, keys: list[str], masks: DataFrame | None = None) -> DataFrame:
+    """Box and area of each mask's pixels; with ``masks`` (the keys of all of
+    them) an empty mask has zeros, without it no row."""
+    got = pixels.groupBy(*keys).agg(F.min("u").alias("u0"), F.min("v").alias("v0"), F.max("u").alias("u1"), F.max("v").alias("v1"), F.count("*").alias("area"))
+    return got if masks is None else masks.select(*keys).distinct().join(got, keys, "left").fillna(0, ["u0", "v0", "u1", "v1", "area"])
 
 
 def stability(pixels: DataFrame, keys: list[str], value: str, low: float, high: float) -> DataFrame:
@@ -70,11 +74,15 @@ def tag_threshold(scores: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def average_precision(ranked: DataFrame, key: str) -> DataFrame:
     """ranked(key, id, score, positive) to (key, ap): mean precision at the
-    places of positives, by falling score (ties: lesser id)."""
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "id")
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    p = ranked.withColumn("_k", F.row_number().over(w)).withColumn("_t", F.sum("positive").over(up))
-    return p.groupBy(key).agg(F.coalesce(F.avg(F.when(F.col("positive") == 1, F.col("_t") / F.col("_k"))), F.lit(0.0)).alias("ap"))
+    places of positives, by falling score (ties: lesser id). Ranks and running
+    positives come from ranges of all rows, less what came before the key, so
+    a key with most of the rows is no single task."""
+    rows = ranked.select(key, "id", (-F.col("score")).alias("_low"), "positive", F.lit(1).alias("_one"))
+    p = running_sums(rows, [key, "_low", "id"], {"_k": "_one", "_t": "positive"})
+    first = p.groupBy(key).agg(F.min("_k").alias("_k0"), F.min("_t").alias("_t0"))
+    precision = (F.col("_t") - F.col("_t0") + 1) / (F.col("_k") - F.col("_k0") + 1)
+    at = p.join(first, key).groupBy(key).agg(F.avg(F.when(F.col("positive") == 1, precision)).alias("ap"))
+    return at.select(key, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def precision_recall(rows: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scenelake.sources.tables import materialise
 
-from .cells import radius_self_join
+from .cells import nearest_exact, radius_self_join
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -54,11 +54,10 @@ def graph_edges(nodes: DataFrame, ratio: float, low: float = 1.0, high: float =
 
 
 def nearest(nodes: DataFrame, floors: DataFrame) -> DataFrame:
-    """(node_id, floor_id) with the closest floor; floors are few and the
-    planner checks their size before it broadcasts them."""
-    f = floors.select(F.col("node_id").alias("floor_id"), *[F.col(a).alias(f"f{a}") for a in "xyz"])
-    d2 = sum(((F.col(a) - F.col(f"f{a}")) ** 2 for a in "xyz"), F.lit(0.0))
-    return nodes.join(f, F.col("node_id") != F.col("floor_id")).groupBy("node_id").agg(F.min_by("floor_id", F.struct(d2, "floor_id")).alias("floor_id"))
+    """(node_id, floor_id) with the closest floor but itself, by cells that
+    grow for nodes without one."""
+    two = nearest_exact(nodes, floors.withColumnRenamed("node_id", "floor_id"), 2, 4.0, "node_id", "floor_id")
+    return two.filter("node_id <> floor_id").groupBy("node_id").agg(F.min_by("floor_id", "rank").alias("floor_id"))
 
 
 def triplets(edges: DataFrame) -> DataFrame:

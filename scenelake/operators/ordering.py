@@ -21,11 +21,29 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return dealt.withColumn("_k", inner).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_k")).drop("_range", "_k", "_start")
 
 
-def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
-    """df with the sum of all values before a row in the order of columns that
-    are unique together, range by range as in ``global_rank``."""
+def running_sums(df: DataFrame, order: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """df with, for each name in values, the sum of that column over all rows
+    before a row in the order of columns that are unique together, range by
+    range as in ``global_rank``."""
     dealt = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_n"))
-    starts = sums.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
-    inner = F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
-    return dealt.withColumn("_k", inner).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_k")).drop("_range", "_k", "_start")
+    sums = dealt.groupBy("_range").agg(*[F.sum(v).alias(f"_n{i}") for i, v in enumerate(values.values())])
+    w = Window.orderBy("_range")
+    starts = sums.select("_range", *[(F.sum(f"_n{i}").over(w) - F.col(f"_n{i}")).alias(f"_s{i}") for i in range(len(values))])
+    inner = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = {f"_k{i}": F.sum(v).over(inner) - F.col(v) for i, v in enumerate(values.values())}
+    out = dealt.withColumns(within).join(F.broadcast(starts), "_range")
+    return out.withColumns({n: F.col(f"_s{i}") + F.col(f"_k{i}") for i, n in enumerate(values)}).drop("_range", *[f"_{c}{i}" for i in range(len(values)) for c in "ks"])
+
+
+def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``running_sums`` of one column."""
+    return running_sums(df, order, {name: value})
+
+
+def gaps(df: DataFrame, column: str) -> DataFrame:
+    """(d): differences of neighbouring distinct values, inside ranges and
+    between the greatest of one range and the least of the next."""
+    dealt = materialise(df.select(F.col(column).alias("v")).filter("v is not null").distinct().repartitionByRange("v").withColumn("_range", F.spark_partition_id()), "ranges")
+    inner = dealt.select((F.col("v") - F.lag("v").over(Window.partitionBy("_range").orderBy("v"))).alias("d"))
+    ends = dealt.groupBy("_range").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return inner.filter("d is not null").union(ends.select((F.col("a") - F.lag("b").over(Window.orderBy("a"))).alias("d")).filter("d is not null"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import gaps, global_rank
+
 from .cells import offsets
 
 
@@ -60,14 +62,13 @@ def bilinear_splat(points: DataFrame, size: float) -> DataFrame:
 
 def grid_step(points: DataFrame, low: float = 1e-6, high: float = 0.5) -> DataFrame:
     """One row: the lesser of the axes' upper-median gaps between neighbouring
-    coordinates. Each axis is one global sort of distinct values, and only the
-    gaps within the limits are ranked."""
+    coordinates. Values are dealt by range, and so are the gaps within the
+    limits, of which the middle one is looked up by its global rank."""
     out = None
     for a in "xy":
-        w = Window.orderBy(a)
-        gaps = points.select(a).distinct().select((F.col(a) - F.lag(a).over(w)).alias("d")).filter((F.col("d") > low) & (F.col("d") < high))
-        n = gaps.agg(F.count("*").alias("_n"))
-        mid = gaps.withColumn("k", F.row_number().over(Window.orderBy("d")) - 1).join(F.broadcast(n)).filter(F.col("k") == F.floor(F.col("_n") / 2)).select("d")
+        near = gaps(points, a).filter((F.col("d") > low) & (F.col("d") < high))
+        ranked = global_rank(near.withColumn("_u", F.monotonically_increasing_id()), ["d", "_u"], "k")
+        mid = ranked.filter(F.col("k") == near.count() // 2 + 1).select("d")
         out = mid if out is None else out.unionByName(mid)
     return out.agg(F.min("d").alias("step"))
 

@@ -144,7 +144,7 @@ def active_instances_radius(spark, d):
     return places(spark, d).filter((F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) <= 0.5) & (F.col("n") > 3)).select("instance_id")
 
 
-GRAPH = f"WITH {b.POINTS}, g AS (SELECT point_idx AS node_id, CASE point_idx % 7 WHEN 0 THEN 'wall' WHEN 1 THEN 'floor' WHEN 2 THEN 'ceiling' ELSE 'chair' END AS semantic, x*3 AS x, y*3 AS y, z*3 AS z, 0.5 + (point_idx % 4) AS radius FROM p WHERE point_idx % 5 = 0)"
+GRAPH = f"WITH {b.POINTS}, g AS (SELECT point_idx AS node_id, CASE point_idx % 7 WHEN 0 THEN 'wall' WHEN 1 THEN 'floor' WHEN 2 THEN 'ceiling' ELSE 'chair' END AS semantic, x*3 AS x, y*3 AS y, z*3 AS z, 0.5 + (point_idx % 4) AS radius FROM p)"
 EDGES = """, e AS (SELECT a.node_id AS i, c.node_id AS j, sqrt((a.x-c.x)*(a.x-c.x)+(a.y-c.y)*(a.y-c.y)+(a.z-c.z)*(a.z-c.z)) AS dist,
  greatest(1.0, least(2.0, 0.6 * greatest(CASE WHEN a.semantic = 'wall' THEN 1.0 ELSE a.radius END, CASE WHEN c.semantic = 'wall' THEN 1.0 ELSE c.radius END))) AS reach
  FROM g a JOIN g c ON a.node_id < c.node_id WHERE a.semantic NOT IN ('floor','ceiling') AND c.semantic NOT IN ('floor','ceiling'))"""
@@ -153,8 +153,7 @@ EDGES = """, e AS (SELECT a.node_id AS i, c.node_id AS j, sqrt((a.x-c.x)*(a.x-c.
 def nodes(spark, d):
     k = F.col("point_idx") % 7
     semantic = F.when(k == 0, "wall").when(k == 1, "floor").when(k == 2, "ceiling").otherwise("chair")
-    p = b.points(spark, d).filter(F.col("point_idx") % 5 == 0)
-    return p.select(F.col("point_idx").alias("node_id"), semantic.alias("semantic"), *[(F.col(a) * 3).alias(a) for a in "xyz"], (F.lit(0.5) + F.col("point_idx") % 4).alias("radius"))
+    return b.points(spark, d).select(F.col("point_idx").alias("node_id"), semantic.alias("semantic"), *[(F.col(a) * 3).alias(a) for a in "xyz"], (F.lit(0.5) + F.col("point_idx") % 4).alias("radius"))
 
 
 @query(GRAPH + EDGES + " SELECT i, j, round(dist, 4) AS dist FROM e WHERE dist < reach")

@@ -49,7 +49,7 @@ def yaw_aligned_box(spark, d):
     return op.yaw_box(b.points(spark, d), "label", STEPS).select("label", *[F.round(c, 5).alias(c) for c in ("ex", "ey", "ez")])
 
 
-RAYS = f"""WITH {b.POINTS}, k AS (SELECT point_idx AS ray_id, x AS ox, y AS oy, z AS oz, 0.6 AS dx, 0.8 AS dy, 0.0 AS dz FROM p WHERE point_idx < 40),
+RAYS = f"""WITH {b.POINTS}, k AS (SELECT point_idx AS ray_id, x AS ox, y AS oy, z AS oz, 0.6 AS dx, 0.8 AS dy, 0.0 AS dz FROM p),
  s AS (SELECT ray_id, CAST(range AS INT) AS step, CAST(floor((ox + 0.6::DOUBLE*(range*0.25::DOUBLE))/0.5) AS INT) AS vx, CAST(floor((oy + 0.8::DOUBLE*(range*0.25::DOUBLE))/0.5) AS INT) AS vy, CAST(floor(oz/0.5) AS INT) AS vz FROM k, range(16)),
  m AS (SELECT ray_id, vx, vy, vz, min(step) AS step FROM s GROUP BY ALL), v AS (SELECT CAST(floor(x/0.5) AS INT) AS vx, CAST(floor(y/0.5) AS INT) AS vy, CAST(floor(z/0.5) AS INT) AS vz FROM p GROUP BY ALL HAVING count(*) >= 2),
  q AS (SELECT ray_id, min(step) AS stop FROM m JOIN v USING (vx, vy, vz) GROUP BY ray_id)"""
@@ -58,7 +58,7 @@ RAYS = f"""WITH {b.POINTS}, k AS (SELECT point_idx AS ray_id, x AS ox, y AS oy,
 @query(RAYS + " SELECT m.ray_id, m.vx, m.vy, m.vz, m.step FROM m LEFT JOIN q USING (ray_id) WHERE stop IS NULL OR step <= stop")
 def ray_cast(spark, d):
     p = b.points(spark, d)
-    rays = p.filter("point_idx < 40").select(F.col("point_idx").alias("ray_id"), *[F.col(a).alias(f"o{a}") for a in "xyz"], *[F.lit(v).alias(f"d{a}") for a, v in zip("xyz", (0.6, 0.8, 0.0))])
+    rays = p.select(F.col("point_idx").alias("ray_id"), *[F.col(a).alias(f"o{a}") for a in "xyz"], *[F.lit(v).alias(f"d{a}") for a, v in zip("xyz", (0.6, 0.8, 0.0))])
     dense = cells.voxel_index(p, 0.5).filter("n >= 2")
     return op.ray_cells(rays, 0.5, 16, dense).select("ray_id", "vx", "vy", "vz", "step")
 
@@ -214,10 +214,10 @@ def range_image(spark, d):
     return g.groupBy("col", "row").agg(F.max("point_idx").alias("point_idx"))
 
 
-@query(f"WITH {b.POINTS}, s AS (SELECT point_idx, a.range AS k, 1 - a.range/10.0::DOUBLE AS wa, a.range/10.0::DOUBLE AS wb, x, y FROM p, range(11) a WHERE point_idx < 20) SELECT point_idx, k, round(2*atan2(sin((0.2::DOUBLE+0.6::DOUBLE*k/10)/2), cos((0.2::DOUBLE+0.6::DOUBLE*k/10)/2)), 6) AS yaw, round(wa*x + wb*y, 6) AS tx FROM s")
+@query(f"WITH {b.POINTS}, s AS (SELECT point_idx, a.range AS k, 1 - a.range/10.0::DOUBLE AS wa, a.range/10.0::DOUBLE AS wb, x, y FROM p, range(11) a) SELECT point_idx, k, round(2*atan2(sin((0.2::DOUBLE+0.6::DOUBLE*k/10)/2), cos((0.2::DOUBLE+0.6::DOUBLE*k/10)/2)), 6) AS yaw, round(wa*x + wb*y, 6) AS tx FROM s")
 def pose_slerp(spark, d):
     """Eleven steps between two turns about z and two places."""
-    p = b.points(spark, d).filter("point_idx < 20").withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(10).cast("bigint"))))
+    p = b.points(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(10).cast("bigint"))))
     t = F.col("k") / 10
     q = lambda a: [F.lit(math.cos(a / 2)), F.lit(0.0), F.lit(0.0), F.lit(math.sin(a / 2))]
     r = geo.slerp(q(0.2), q(0.8), t)
