@@ -21,7 +21,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from . import association, detection, points, rasters, registration, segments, shapes, times  # noqa: F401
+    from . import association, detection, frames, image, points, poses, rasters, registration, segments, shapes, times  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
