@@ -18,6 +18,9 @@ __all__ = ["gone_at_exit", "mark", "materialise", "new_path", "release"]
 #: so the default of 10,000 rows would let one batch hold a gigabyte.
 BATCH_ROWS = 500
 
+#: Bytes of the small batches that are looked at together.
+GATHER = 4 << 20
+
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -59,13 +62,28 @@ def map_rows(df: DataFrame, fn: Callable[..., list], columns: list[str], schema:
     kinds = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches) if arrow else batches:
             got = fn(*(c if arrow else c.to_pylist() for c in b.columns))
             yield pa.RecordBatch.from_arrays([as_array(x, f.type) for x, f in zip(got, kinds)], schema=kinds)
 
     return df.select(*columns).mapInArrow(run, out)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to ``GATHER`` bytes, so that what texts have in common
+    is looked up less often."""
+    have, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            have.append(b)
+            size += b.nbytes
+        if size >= GATHER:
+            yield from pa.Table.from_batches(have).combine_chunks().to_batches()
+            have, size = [], 0
+    if have:
+        yield from pa.Table.from_batches(have).combine_chunks().to_batches()
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
 
@@ -123,7 +141,7 @@ def filter_rows(df: DataFrame, text_col: str, keep: Callable[[pa.Array], list])
     out = src.drop(src.columns[-1]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches):
             mask = pa.array(keep(b.column(b.num_columns - 1)), pa.bool_())
             yield b.select(range(b.num_columns - 1)).filter(mask)
 

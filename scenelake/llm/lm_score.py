@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Chunks, arrow_schema, held, id_crc, mark, materialise, release, small_batches, text_bytes
+from .common import Chunks, arrow_schema, gathered, held, id_crc, mark, materialise, release, small_batches, text_bytes
 
 HOT = 1 << 18
 FREQUENT, WIDE = 768, 32
@@ -99,7 +99,7 @@ def count_tokens(train: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array([lang] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], schema=arrow)
                 c.clear()
 
-        for b in batches:
+        for b in gathered(batches):
             batch, lang = Chunks(b.column(0), lower=True), b.column(1).to_numpy()
             of = np.repeat(lang, np.diff(np.append(0, batch.ends)))
             for k in np.unique(lang).tolist():
@@ -342,9 +342,7 @@ def train_round(t: Tables, w: list[np.ndarray], train: DataFrame, rate: float) -
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layers, step, done = [Layer(x) for x in w], STEP, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in gathered(batches):
             row, places, _, _ = flat(t, b.column(0))
             at = 0
             while at < len(places):
@@ -423,9 +421,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = TaskContext.get().partitionId() << 33
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in gathered(batches):
             row, places, starts, batch = flat(t, b.column(2))
             token, some, word_rows = parts(t, row, places)
             cls, rows = t.cls[token], hashed(row, places)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from scenelake.operators.ordering import running_sum
 
 from . import bpe
-from .common import arrow_schema, held, small_batches
+from .common import arrow_schema, gathered, held, small_batches
 
 BLOCK = 512
 
@@ -274,9 +274,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
             row = [part], [seq], [n], [keys], [ends], [WaveletMatrix.build(np.concatenate(data), enc.width).to_bytes()]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, arrow)], schema=arrow)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in gathered(batches):
             ids, stops = enc.encode(b.column(1))
             stops, done = stops.tolist(), 0
             for key, begin, stop in zip(b.column(0).to_pylist(), [0, *stops], stops):
