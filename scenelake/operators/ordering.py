@@ -47,3 +47,12 @@ def gaps(df: DataFrame, column: str) -> DataFrame:
     inner = dealt.select((F.col("v") - F.lag("v").over(Window.partitionBy("_range").orderBy("v"))).alias("d"))
     ends = dealt.groupBy("_range").agg(F.min("v").alias("a"), F.max("v").alias("b"))
     return inner.filter("d is not null").union(ends.select((F.col("a") - F.lag("b").over(Window.orderBy("a"))).alias("d")).filter("d is not null"))
+
+
+def discrete_quantile(df: DataFrame, key: str, order: Sequence[str], p: float) -> DataFrame:
+    """(key, n, value): each key's size and the first of ``order`` at place
+    ceil(p n), from ranks over ranges of all rows; a key is no single task."""
+    ranked = global_rank(df.select(key, *order), [key, *order], "_place")
+    first = ranked.groupBy(key).agg(F.min("_place").alias("_f"), F.count("*").alias("n"))
+    at = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(p)))
+    return ranked.join(first, key).filter(F.col("_place") - F.col("_f") + 1 == at).select(key, "n", F.col(order[0]).alias("value"))

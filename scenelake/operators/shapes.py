@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cells import cell, radius_pairs
+from .cells import cell, knn_exact, radius_pairs
 
 
 def moments(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -19,20 +19,32 @@ def moments(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return points.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(a).alias(f"c{a}") for a in "xyz"], *[F.covar_pop(p[0], p[1]).alias(p) for p in pairs])
 
 
-def eigen_frame(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
-    """Normal and ascending eigenvalues of 3x3 covariances, a batch at a time;
-    the normal's largest part is positive."""
-    m = np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2).astype(float)
-    value, vector = np.linalg.eigh(m)
-    n = vector[..., 0]
-    top = np.take_along_axis(n, np.abs(n).argmax(-1)[..., None], -1)
-    n = n * np.where(top < 0, -1.0, 1.0)
-    return pd.DataFrame({"nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2], "l0": value[:, 0].clip(0), "l1": value[:, 1].clip(0), "l2": value[:, 2].clip(0)})
-
-
-def eigen(*covariance: str) -> Column:
-    kind = "nx double, ny double, nz double, l0 double, l1 double, l2 double"
-    return F.pandas_udf(eigen_frame, kind)(*covariance)
+def eigen(xx: str, xy: str, xz: str, yy: str, yz: str, zz: str) -> Column:
+    """Struct (nx, ny, nz, l0, l1, l2) of a symmetric 3 x 3: eigenvalues in
+    ascending order by the angle of its characteristic cubic, and the least
+    one's direction, with its greatest component positive."""
+    a, b, c, d, e, f = (F.col(k) for k in (xx, xy, xz, yy, yz, zz))
+    mean = (a + d + f) / 3
+    p = F.sqrt(((a - mean) ** 2 + (d - mean) ** 2 + (f - mean) ** 2 + 2 * (b * b + c * c + e * e)) / 6)
+    u, v, w = a - mean, d - mean, f - mean
+    det = u * (v * w - e * e) - b * (b * w - e * c) + c * (b * e - v * c)
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(p > 0, det / (2 * p * p * p)).otherwise(0.0)))
+    phi = F.acos(r) / 3
+    top, low = mean + 2 * p * F.cos(phi), mean + 2 * p * F.cos(phi + 2 * math.pi / 3)
+    zero = F.lit(0.0)
+    values = F.greatest(zero, low), F.greatest(zero, 3 * mean - top - low), F.greatest(zero, top)
+    rows = ((a - low, b, c), (b, d - low, e), (c, e, f - low))
+    crosses = [[x[1] * y[2] - x[2] * y[1], x[2] * y[0] - x[0] * y[2], x[0] * y[1] - x[1] * y[0]] for x, y in ((rows[0], rows[1]), (rows[0], rows[2]), (rows[1], rows[2]))]
+    best = F.array_max(F.array(*[F.struct((k[0] * k[0] + k[1] * k[1] + k[2] * k[2]).alias("n"), *[x.alias(s) for x, s in zip(k, "xyz")]) for k in crosses]))
+    return F.transform(F.array(best), lambda k: _signed(k, values))[0]
+
+
+def _signed(k: Column, values: tuple[Column, ...]) -> Column:
+    n = F.sqrt(k["n"])
+    x = [F.when(n > 0, k[s] / n).otherwise(1.0 if s == "z" else 0.0) for s in "xyz"]
+    most = F.greatest(*[F.abs(v) for v in x])
+    sign = F.when(F.abs(x[2]) >= most - 1e-12, F.signum(x[2])).when(F.abs(x[1]) >= most - 1e-12, F.signum(x[1])).otherwise(F.signum(x[0]))
+    return F.struct(*[(v * sign).alias(f"n{s}") for v, s in zip(x, "xyz")], *[v.alias(f"l{i}") for i, v in enumerate(values)])
 
 
 def plane_fit(points: DataFrame, keys: Sequence[str], least: int = 5, flat: float = 0.01) -> DataFrame:
@@ -43,8 +55,9 @@ def plane_fit(points: DataFrame, keys: Sequence[str], least: int = 5, flat: floa
 
 
 def planarity(points: DataFrame, radius: float, least: int, ratio: float = 0.35, id_col: str = "point_idx") -> DataFrame:
-    """Points whose neighbourhood's least eigenvalue is under ``ratio`` of the next."""
-    near = radius_pairs(points, points, radius, id_col, id_col).select(F.col(id_col), F.col(f"{id_col}_2").alias("_j"))
+    """Points whose least eigenvalue over their ``least`` nearest others and
+    themselves is under ``ratio`` of the next; radius: where the search begins."""
+    near = knn_exact(points, least, radius, id_col).select(F.col(id_col), F.col("neighbour").alias("_j")).union(points.select(id_col, F.col(id_col).alias("_j")))
     around = near.join(points.select(F.col(id_col).alias("_j"), "x", "y", "z"), "_j")
     p = plane_fit(around, [id_col], least, math.inf)
     return p.filter((F.col("l1") > 0) & (F.col("l0") < ratio * F.col("l1"))).select(id_col)
@@ -194,14 +207,16 @@ def entropy(points: DataFrame, radius: float, epsilon: float = 1e-6) -> DataFram
     return m.agg(F.avg(0.5 * F.log(F.lit(2 * math.pi * math.e) * F.greatest(det, F.lit(0.0)) + epsilon)).alias("entropy"))
 
 
-def thin(grid: DataFrame, rounds: int = 50) -> DataFrame:
-    """Skeleton of each 8-connected component by alternating deletion passes.
+def thin(grid: DataFrame) -> DataFrame:
+    """Skeleton of each 8-connected component by alternating deletion passes,
+    until one changes nothing.
     A component is thinned in one task; pages of plans are split into
     components first, which bounds a task by the largest wall network."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         on = set(zip(g.gx, g.gy))
         ring = [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]
-        for _ in range(rounds):
+        changed = True
+        while changed:
             changed = False
             for odd in (0, 1):
                 gone = []
@@ -213,8 +228,6 @@ def thin(grid: DataFrame, rounds: int = 50) -> DataFrame:
                             gone.append((x, y))
                 on -= set(gone)
                 changed |= bool(gone)
-            if not changed:
-                break
         return pd.DataFrame(sorted(on), columns=["gx", "gy"])
 
     return grid_components(grid).groupBy("root").applyInPandas(run, "gx int, gy int")

@@ -46,10 +46,10 @@ def moving_average(rows: DataFrame, key: str, order: list[str], value: str, n: i
     return rows.withColumn("mean", F.avg(value).over(w)).withColumn("median", F.percentile(value, F.lit(0.5)).over(w))
 
 
-def travelled(poses: DataFrame, key: str, order: str, step: float) -> DataFrame:
+def travelled(poses: DataFrame, key: str, order: list[str], step: float) -> DataFrame:
     """Distance along accepted rows: a row counts if it lies over ``step`` from
-    the last accepted one. A state runs through each key's rows: (key, order,
-    d)."""
+    the last accepted one. A state runs through each key's rows, in the order
+    of columns that are unique together: (key, *order, d)."""
     import pandas as pd
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -61,7 +61,26 @@ def travelled(poses: DataFrame, key: str, order: str, step: float) -> DataFrame:
             elif abs(x - at) > step:
                 d, at = d + abs(x - at), x
             out.append(d)
-        return pd.DataFrame({key: g[key], order: g[order], "d": out})
+        return g[[key, *order]].assign(d=out)
 
-    kinds = {c: poses.schema[c].dataType.simpleString() for c in (key, order)}
-    return poses.select(key, order, "x").groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, d double")
+    kinds = [f"{c} {poses.schema[c].dataType.simpleString()}" for c in (key, *order)]
+    return poses.select(key, *order, "x").groupBy(key).applyInPandas(run, ", ".join([*kinds, "d double"]))
+
+
+def end_frames(walked: DataFrame, key: str, order: list[str], length: float) -> DataFrame:
+    """(key, *order, end_id): for each row the first one at least ``length``
+    further along, -1 for none, by one search in the key's distances."""
+    import numpy as np
+    import pandas as pd
+
+    last = order[-1]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order)
+        d = g["d"].to_numpy()
+        at = np.searchsorted(d, d + length - 1e-9)
+        ids = np.append(g[last].to_numpy(), -1)
+        return g[[key, *order]].assign(end_id=ids[at])
+
+    kinds = [f"{c} {walked.schema[c].dataType.simpleString()}" for c in (key, *order)]
+    return walked.groupBy(key).applyInPandas(run, ", ".join([*kinds, "end_id bigint"]))

@@ -22,9 +22,10 @@ def plane_moments(spark, d):
     return m.select("label", "n", *[F.round(c, 5).alias(c) for c in ("cx", "xx", "xy", "xz", "yz", "zz")])
 
 
-@query()
+@query(f"WITH {b.POINTS}, m AS (SELECT label, count(*) AS n, covar_pop(x,x) AS a, covar_pop(x,y) AS b, covar_pop(x,z) AS c, covar_pop(y,y) AS d, covar_pop(y,z) AS e, covar_pop(z,z) AS f FROM p GROUP BY label HAVING count(*) >= 5), q AS (SELECT *, (a+d+f)/3 AS me, sqrt(((a-(a+d+f)/3)*(a-(a+d+f)/3)+(d-(a+d+f)/3)*(d-(a+d+f)/3)+(f-(a+d+f)/3)*(f-(a+d+f)/3)+2*(b*b+c*c+e*e))/6) AS pp FROM m), r AS (SELECT *, acos(greatest(-1, least(1, ((a-me)*((d-me)*(f-me)-e*e)-b*(b*(f-me)-e*c)+c*(b*e-(d-me)*c))/(2*pp*pp*pp))))/3 AS ph FROM q), v AS (SELECT *, me+2*pp*cos(ph) AS l2, me+2*pp*cos(ph+2*pi()/3) AS l0 FROM r) SELECT label, n, round(l0, 5) AS l0, round(3*me-l0-l2, 5) AS l1, round(sqrt(l2), 5) AS radius, l0 < 0.5 AS planar FROM v")
 def plane_fit(spark, d):
-    return op.plane_fit(b.points(spark, d), ["label"], 5, 0.5)
+    p = op.plane_fit(b.points(spark, d), ["label"], 5, 0.5)
+    return p.select("label", "n", *[F.round(c, 5).alias(c) for c in ("l0", "l1", "radius")], "planar")
 
 
 @query()

@@ -47,9 +47,20 @@ def moving_average(spark, d):
     return m.select("traj", "event_id", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
 
 
-@query()
+WALKED = f"""WITH RECURSIVE {b.POSES}, q AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY us, event_id) AS n FROM t),
+ g(traj, n, us, event_id, here, d) AS (SELECT traj, n, us, event_id, x, CAST(0 AS DOUBLE) FROM q WHERE n = 1 UNION ALL SELECT q.traj, q.n, q.us, q.event_id, CASE WHEN abs(q.x - g.here) > 5.0 THEN q.x ELSE g.here END, CASE WHEN abs(q.x - g.here) > 5.0 THEN g.d + abs(q.x - g.here) ELSE g.d END FROM g JOIN q ON q.traj = g.traj AND q.n = g.n + 1),
+ z AS (SELECT traj, n, us, event_id, d FROM g)"""
+
+
+@query(WALKED + " SELECT traj, us, event_id, round(d, 6) AS d FROM z")
 def travelled_distance(spark, d):
-    return op.travelled(b.poses(spark, d), "traj", "us", 5.0)
+    return op.travelled(b.poses(spark, d), "traj", ["us", "event_id"], 5.0).withColumn("d", F.round("d", 6))
+
+
+@query(WALKED + ", o AS (SELECT a.traj, a.us, a.event_id, min(c.n) AS m FROM z a LEFT JOIN z c ON c.traj = a.traj AND c.d >= a.d + 100 - 1e-9 GROUP BY ALL) SELECT o.traj, o.us, o.event_id, coalesce(z.event_id, -1) AS end_id FROM o LEFT JOIN z ON z.traj = o.traj AND z.n = o.m")
+def distance_end_frame(spark, d):
+    walked = op.travelled(b.poses(spark, d), "traj", ["us", "event_id"], 5.0)
+    return op.end_frames(walked, "traj", ["us", "event_id"], 100.0)
 
 
 @query("WITH e AS (SELECT user_id, event_type, date_trunc('hour', ts) AS h FROM events) SELECT CAST(epoch(h) AS BIGINT) AS hour, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM e GROUP BY 1, 2")

@@ -211,8 +211,10 @@ def stage_timers(spark, d):
 @query("WITH q AS (SELECT event_type, value, percent_rank() OVER (PARTITION BY event_type ORDER BY value) AS p, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value > 0.2) SELECT event_type, n, quantile_disc(value, 0.9) AS cut FROM q WHERE n >= 100 GROUP BY event_type, n")
 def masked_depth(spark, d):
     """Valid depths of each mask and the one at the 90th percentile's place."""
-    e = b.read(spark, d, "events").filter("value > 0.2").groupBy("event_type")
-    return e.agg(F.count("*").alias("n"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY value)").alias("cut")).filter("n >= 100")
+    from scenelake.operators.ordering import discrete_quantile
+
+    q = discrete_quantile(b.read(spark, d, "events").filter("value > 0.2"), "event_type", ["value", "event_id"], 0.9)
+    return q.filter("n >= 100").select("event_type", "n", F.col("value").alias("cut"))
 
 
 

@@ -52,7 +52,7 @@ def read_likelihood(spark: SparkSession, path: str) -> DataFrame:
     predicted labels, then a row of numbers for each measured label."""
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     t = spark.read.text(path, wholetext=True).select(lines.alias("l"))
-    t = t.select(F.split(F.get("l", F.lit(1)), r"\s+").alias("m"), F.split(F.get("l", F.lit(2)), r"\s+").alias("q"), F.slice("l", 4, 100_000).alias("rows"))
+    t = t.select(F.split(F.get("l", F.lit(1)), r"\s+").alias("m"), F.split(F.get("l", F.lit(2)), r"\s+").alias("q"), F.slice("l", F.lit(4), F.size("l")).alias("rows"))
     one = t.select("m", "q", F.posexplode("rows").alias("i", "row")).select(F.get("m", "i").alias("measured"), "q", F.split("row", r"\s+").alias("v"))
     return one.select("measured", F.posexplode(F.arrays_zip("q", "v")).alias("j", "x")).select("measured", F.col("x.q").alias("predicted"), F.col("x.v").cast("float").alias("p")).filter("measured is not null and predicted is not null")
 
