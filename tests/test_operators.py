@@ -26,7 +26,7 @@ def test_knn_is_exact_where_points_are_sparse(spark):
     pts = [(0, 0.0, 0.0, 0.0), (1, 0.1, 0.0, 0.0), (2, 50.0, 0.0, 0.0), (3, 49.0, 0.0, 0.0), (4, 1e4, 0.0, 0.0)]
     df = spark.createDataFrame(pts, "point_idx bigint, x double, y double, z double")
     got = {}
-    for r in cells.knn_exact(df, 2, 0.5, rounds=4).collect():
+    for r in cells.knn_exact(df, 2, 0.5).collect():
         got.setdefault(r.point_idx, []).append((r["rank"], r.neighbour))
     assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == {0: [1, 3], 1: [0, 3], 2: [3, 1], 3: [2, 1], 4: [2, 3]}
 
