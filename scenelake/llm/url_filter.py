@@ -97,7 +97,7 @@ class Trees:
     """A sum of trees over named features; a tree is a leaf's value or
     (feature, threshold, tree at or below it, tree above it)."""
 
-    def __init__(self, bias: float, trees: list, rates: dict[str, float], prior: float):
+    def __init__(self, bias: float, trees: list, rates: DataFrame, prior: float):
         self.bias, self.trees, self.rates, self.prior = bias, trees, rates, prior
 
     def column(self) -> Column:
@@ -107,10 +107,9 @@ class Trees:
         return sum((of(t) for t in self.trees), F.lit(self.bias))
 
     def with_suffix_rate(self, df: DataFrame, host: Column) -> DataFrame:
-        """df with ``suffix_rate``, by a join with the rates (a row for each
-        suffix of the sample, so at most ``TRAIN_ROWS``)."""
-        rates = df.sparkSession.createDataFrame(sorted(self.rates.items()), "_suffix string, _rate double")
-        out = df.join(F.broadcast(rates), suffix(host) == F.col("_suffix"), "left")
+        """df with ``suffix_rate``, by a join with rates(_suffix, _rate): a row
+        for each suffix of the sample, so at most ``TRAIN_ROWS``."""
+        out = df.join(F.broadcast(self.rates), suffix(host) == F.col("_suffix"), "left")
         return out.withColumn("suffix_rate", F.coalesce("_rate", F.lit(self.prior))).drop("_suffix", "_rate")
 
 
@@ -125,8 +124,9 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Trees | None:
     if not total:
         return None
     prior = (ones + 1) / (total + 2)
-    seen = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("y")).collect()  # at most ``rows``
-    model = Trees(math.log(prior / (1 - prior)), [], {r.suffix: (r.y + 20 * prior) / (r.n + 20) for r in seen}, prior)
+    rate = (F.sum("label") + 20 * prior) / (F.count("*") + 20)
+    rates = materialise(sample.groupBy(F.col("suffix").alias("_suffix")).agg(rate.alias("_rate")), "rates")
+    model = Trees(math.log(prior / (1 - prior)), [], rates, prior)
     names = [*named, "suffix_rate"]
     sample = model.with_suffix_rate(sample.withColumnRenamed("suffix", "host"), F.col("host"))
     cuts = dict(zip(names, sample.approxQuantile(names, [i / BINS for i in range(BINS)], 0.001)))
@@ -137,7 +137,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Trees | None:
     for _ in range(TREES):
         p = 1 / (1 + F.exp(-model.column()))
         model.trees.append(grow(sample.withColumn("g", F.col("label") - p).withColumn("h", p * (1 - p)), bins, cuts))
-    release(labelled.sparkSession, begun)
+    release(labelled.sparkSession, begun, rates)
     return model
 
 
