@@ -21,7 +21,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from . import association, detection, frames, image, models, points, poses, rasters, registration, segments, shapes, times, walls  # noqa: F401
+    from . import association, detection, frames, image, models, points, poses, rasters, registration, segments, shapes, times, voxelmap, walls  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
