@@ -28,6 +28,9 @@ from .common import held, map_rows, text_bytes
 #: Remembered chunks and words of each worker: about 90 MB each generation.
 CHUNKS, WORDS = 200_000, 150_000
 
+#: Bytes of text that are looked at together; the arrays about them take some thirty times as much.
+GATHER = 1 << 20
+
 
 class Codec:
     def __init__(self, path: str):
@@ -102,4 +105,4 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
 
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("key"), text_bytes(text_col).alias("bytes"))
-    return map_rows(src, run, ["key", "bytes"], f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", arrow=True)
+    return map_rows(src, run, ["key", "bytes"], f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", arrow=True, gather=GATHER)

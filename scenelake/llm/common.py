@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,40 +45,52 @@ def held(key, make: Callable):
     """make(), remembered under its key until another key is asked for, so a
     worker that serves one stage after another holds one stage's memory."""
     if key not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            give_back()
         _held[key] = make()
     return _held[key]
 
 
+def give_back() -> None:
+    """Free memory that Arrow and the C library keep goes back to the machine,
+    or the next stage's tables would come on top of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(col: str | Column) -> Column:
     """Text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")
 
 
-def map_rows(df: DataFrame, fn: Callable[..., list], columns: list[str], schema: str, arrow: bool = False) -> DataFrame:
-    """mapInArrow by columns: fn gets one Python list (``arrow``: one array)
-    for each of ``columns`` and returns one for each column of ``schema``."""
+def map_rows(df: DataFrame, fn: Callable[..., list], columns: list[str], schema: str, arrow: bool = False, gather: int = GATHER) -> DataFrame:
+    """mapInArrow by columns: fn gets one Python list (``arrow``: one array,
+    batches joined up to ``gather`` bytes) for each of ``columns`` and returns
+    one for each column of ``schema``."""
     small_batches(df.sparkSession)
     out = df.sparkSession.createDataFrame([], schema).schema
     kinds = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in gathered(batches) if arrow else batches:
+        for b in gathered(batches, gather) if arrow else batches:
             got = fn(*(c if arrow else c.to_pylist() for c in b.columns))
             yield pa.RecordBatch.from_arrays([as_array(x, f.type) for x, f in zip(got, kinds)], schema=kinds)
 
     return df.select(*columns).mapInArrow(run, out)
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined up to ``GATHER`` bytes, so that what texts have in common
+def gathered(batches: Iterator[pa.RecordBatch], gather: int = GATHER) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to ``gather`` bytes, so that what texts have in common
     is looked up less often."""
     have, size = [], 0
     for b in batches:
         if b.num_rows:
             have.append(b)
             size += b.nbytes
-        if size >= GATHER:
+        if size >= gather:
             yield from pa.Table.from_batches(have).combine_chunks().to_batches()
             have, size = [], 0
     if have:
